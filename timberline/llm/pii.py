@@ -75,7 +75,7 @@ def contexts(found: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, base: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
     """(term, value, pmi, ic) beyond the threshold, from all of docs. base (text_key, text, base): texts with values."""
     total = docs.select(F.md5(text_of()).alias("text_key")).distinct().count()
-    near = written(contexts(base.dropDuplicates(["text_key"])), "contexts")
+    near = written(contexts(base).distinct(), "contexts")
     per_value = near.select("text_key", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
     pairs = near.select("text_key", "value", "context", F.explode("near").alias("term")).distinct()
     often = pairs.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_x")).filter(F.col("n_x") >= support).drop("n_x")
@@ -92,7 +92,7 @@ def detect(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
     """docs with `base` and `spans`, arrays of (kind, start, end, match); spans has the terms too, by kind and start."""
     source = docs.select(F.md5(text_of()).alias("text_key"), text_of().alias("text"))
     likely = F.contains("text", F.lit("@")) | F.contains("text", F.lit("+")) | F.rlike("text", F.lit("[0-9]"))
-    base = source.filter(likely).select("text_key", "text", base_spans(F.col("text")).alias("base")).filter(F.size("base") > 0)
+    base = source.filter(likely).select("text_key", "text", base_spans(F.col("text")).alias("base"))
     terms = written(disclosing(docs, base, share, support).select("term").distinct(), "terms")
     held = docs.select(F.md5(text_of()).alias("_key"), F.explode(F.array_distinct(words(text_of()))).alias("term")).join(terms, "term", "left_semi").distinct()
     per_text = written(held.groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms")), "texts-with-terms")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, media, packing, pii, quality, secrets, spans, tokens
+from . import chat, decontaminate, media, neardup, packing, pii, quality, secrets, spans, substrings, tokens
 from .common import documents, text_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op5_token_arrow(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_files(documents(spark, d))
 
 
+def op6_chosen_path_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, d), size=3, percent=85)
+
+
 def op7_media_sequence(spark: SparkSession, d: str) -> DataFrame:
     """Each document becomes a page that shows its text, stored as an image, between a heading and a caption."""
     docs = documents(spark, d).select("doc_id", F.encode(text_of(), "UTF-8").alias("payload"))
@@ -56,6 +60,10 @@ def op7_media_sequence(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def op8_suffix_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.deduplicated(documents(spark, d)).drop("kept")
+
+
 def op9_secret_trigrams(spark: SparkSession, d: str) -> DataFrame:
     found = secrets.scan(documents(spark, d).select("doc_id", "text")).select("doc_id", "spans")
     kinds = [r.kind for r in secrets.BASE]
@@ -69,5 +77,5 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(documents(spark, d))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_chat_hmm, op3_prefix_join_decontamination, op4_pii_disclosure, op5_token_arrow, op7_media_sequence, op9_secret_trigrams, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_chat_hmm, op3_prefix_join_decontamination, op4_pii_disclosure, op5_token_arrow, op6_chosen_path_dedup, op7_media_sequence, op8_suffix_repeats, op9_secret_trigrams, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
