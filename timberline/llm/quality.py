@@ -132,11 +132,15 @@ def ascend(x: np.ndarray, y: np.ndarray, first: np.ndarray, w: np.ndarray, bias:
     return p[:-5], float(p[-5]), p[-4:].reshape(2, 2)
 
 
-def fit(examples: DataFrame, max_documents: int = 3000, max_bytes: int = 200_000, steps: int = 120) -> Model:
-    """examples (doc_id, text, quality). Fits on at most max_documents rows, the least by hash, of at most max_bytes
-    each; these two bounds hold whatever the table's size. Lines start with their document's label; after a first fit,
-    lines of bad documents that look good are relabelled and the fit is repeated."""
-    rows = examples.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isNotNull() & (F.length("text") <= max_bytes)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents).select("text", "quality").collect()
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, max_bytes: int = 200_000, steps: int = 120) -> Model:
+    """Fits on at most max_documents labelled rows outside the held-out fold, crc32(doc_id as text) mod 4 = 2: those of
+    the least hash, without texts of more than max_bytes. The two bounds hold whatever the tables' sizes; only the ids
+    are broadcast. Lines start with their document's label; after a first fit, lines of bad documents that look good are
+    relabelled and the fit is repeated."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_documents)
+    texts = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= max_bytes)
+    rows = sorted(texts.select("doc_id", "text", "quality").limit(2 * max_documents).collect(), key=lambda r: (r.doc_id, bytes(r.text), r.quality))
     labels = np.array([int(r.quality > 0) for r in rows])
     if len(set(labels.tolist())) < 2:  # nothing to learn from: one score for all
         n = 3 * 18 + 2
@@ -164,12 +168,6 @@ def fit(examples: DataFrame, max_documents: int = 3000, max_bytes: int = 200_000
     return Model(mean, scale, w, bias, turn, (float(a), float(b)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows outside the held-out fold, crc32(doc_id as text) mod 4 = 2."""
-    known = labels.select("doc_id", "quality").filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs."""
     ship(docs.sparkSession)

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_quality_crf(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d)
-    model = quality.fit(quality.training_rows(docs, spark.read.parquet(f"{d}/labels.parquet")))
+    model = quality.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
     return quality.score(docs, model)
 
 
