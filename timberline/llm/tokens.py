@@ -15,6 +15,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -27,10 +28,12 @@ from .common import scratch, ship
 
 END = b"\0\0\0\0"
 ROWS = 256
-#: Texts of these characters alone are cut by the pattern below as the tokenizer cuts them, in any Unicode version.
+#: In texts of these characters, without two of white space in a row, a space begins a piece whatever stands around it:
+#: byte-level BPE joins one space to what follows and never merges across pieces.
 PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
-#: The published pattern of byte-level BPE vocabularies of this family (a fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+DOUBLE = re.compile(r"[\t\n\r ]{2}")
+#: A comma or full stop after anything but a letter or digit may belong to a longer piece.
+MARKS = re.compile("(?<![0-9A-Za-zÀ-ÖØ-öø-ɏ])[,.]")
 MOST = 400_000
 _workers: dict = {}
 
@@ -41,31 +44,67 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Kept(dict):
+    """Pieces that are kept; misses go to those of the present call."""
+
+    extra: dict = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.extra[word]
+
+
 class Encoder:
-    """Encodes with the tokenizers library; what it made of a piece between two cuts is kept for the next texts."""
+    """Encodes with the tokenizers library. Plain texts are cut before single spaces and what the library made of a
+    piece is kept, up to MOST pieces, for later ones; other texts are encoded as they are."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.cut, self.kept = Tokenizer.from_file(path), regex.compile(PATTERN).findall, {}
+        self.tok, self.kept = Tokenizer.from_file(path), Kept()
+        self.begins = np.zeros(self.tok.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]] = True
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each begin with their only space, encoded as long texts: every such piece begins with the one id in
+        it whose token starts with the mark of a space."""
+        out = []
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
+            if len(at) != len(part) + 1:
+                out += self.whole(part)
+                continue
+            data, at = ids.tobytes(), at.tolist()
+            out += [data[i:z] for i, z in zip(at, at[1:])]
+        return out
+
+    def simple(self, text: str) -> bool:
+        return bool(PLAIN.fullmatch(text)) and not DOUBLE.search(text) and not text.endswith(" ") and not any(s in text for s in self.special)
+
+    def cut(self, text: str) -> list[str]:
+        """A simple text before each space, line end and, if none follows another mark, comma and full stop."""
+        text = text.replace(" ", "\x01 ").replace("\n", "\x01\n")
+        if not MARKS.search(text):
+            text = text.replace(",", "\x01,").replace(".", "\x01.")
+        return text.split("\x01")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cuts = [self.cut(t) if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        words = set().union(*[c for c in cuts if c])
-        new = words.difference(self.kept)
-        if len(self.kept) + len(new) > MOST:
-            self.kept, new = {}, words
-        new = list(new)
-        self.kept.update(zip(new, self.whole(new)))
-        rest = iter(self.whole([t for t, c in zip(texts, cuts) if c is None]))
-        return [next(rest) if c is None else b"".join(map(self.kept.__getitem__, c)) for c in cuts]
+        cuts = [self.cut(t) if self.simple(t) else None for t in texts]
+        rest = iter(self.whole([t if c is None else c.pop(0) for t, c in zip(texts, cuts)]))
+        new = set().union(*[c for c in cuts if c]).difference(self.kept)
+        spaced, other = [w for w in new if w[0] == " "], [w for w in new if w[0] != " "]
+        made = dict(zip(spaced, self.pieces(spaced))) | dict(zip(other, self.whole(other)))
+        if len(self.kept) + len(made) <= MOST:
+            self.kept.update(made)
+        self.kept.extra, get = made, self.kept.__getitem__
+        return [next(rest) + (b"".join(map(get, c)) if c else b"") for c in cuts]
 
 
 def encoder(path: str) -> Encoder:
