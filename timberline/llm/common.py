@@ -27,7 +27,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application: their Python workers import it."""
+    """Sends this package to the executors, once per application: their Python workers import it. Batches between Spark
+    and Python are kept small, as rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     context = spark.sparkContext
     if getattr(context, "_timberline", None) != context.applicationId:
         root = Path(__file__).parents[1]

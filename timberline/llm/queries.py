@@ -61,7 +61,7 @@ def op7_media_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_suffix_repeats(spark: SparkSession, d: str) -> DataFrame:
-    return substrings.deduplicated(documents(spark, d)).drop("kept")
+    return substrings.deduplicated(documents(spark, d), with_bytes=False)
 
 
 def op9_secret_trigrams(spark: SparkSession, d: str) -> DataFrame:

@@ -266,9 +266,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def deduplicated(docs: DataFrame, size: int = 200) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept are the remaining bytes."""
-    found = repeats(docs, size)
+def deduplicated(docs: DataFrame, size: int = 200, with_bytes: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row; kept are the remaining bytes."""
+    found, width = repeats(docs, size), 5 if with_bytes else 4
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +281,9 @@ def deduplicated(docs: DataFrame, size: int = 200) -> DataFrame:
                     keep.append(b[at:a])
                     at = z
                 left = b"".join([*keep, b[at:]])
-                rows.append((len(b), len(b) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(b), len(b) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left)[:width])
+            cols = list(zip(*rows)) or [()] * width
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: width + 1])
 
     rows = docs.select("doc_id", *text_key(), F.encode(text_of(), "UTF-8").alias("b")).join(found, ["h", "n"], "left").select("doc_id", "b", "spans")
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
