@@ -10,8 +10,10 @@ candidate in another component; their full sets meet in the node, are compared e
 come out. Pairs never leave a task. Nodes that stay large at the last level are compared in pairs of blocks, so none is gathered
 in one task. Components come from alternating large-star and small-star steps on the cluster.
 
-A pair at the similarity bound shares a token at one selected position with that probability; two positions a level
-in six trees miss it about once in a million at two levels. The sketch test lies 4.5 standard deviations below the bound.
+Of a pair at the similarity bound s, a selected position keeps it together with probability s. A root selects two
+positions, any other node 1 / s of them on average (one, and by its hash a second), so that a pair's expected number of
+common paths doesn't fall with depth; six trees miss a pair about once in ten thousand at the last level, and far less
+often above it. The sketch test lies 4.5 standard deviations below the bound.
 
 Rows: texts without words (null, empty, white space) link with nothing; repeated rows have one set; rows that share a
 doc_id are told apart by their sets; a row without doc_id keeps a null component and is kept; an empty table gives an
@@ -68,7 +70,7 @@ def sketch(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_key, n, key, sketch) of every row; key identifies the set, null without words."""
+    """(doc_id, text_key, n, key, sketch, small) of every row; key identifies the set, null without words."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -81,34 +83,37 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 values = sets.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
                 some = n > 0
                 first = np.concatenate([[0], np.cumsum(n[some])])
-                keys, sketches = np.full(len(n), None, object), np.full(len(n), None, object)
+                keys, sketches, small = (np.full(len(n), None, object) for _ in range(3))
                 if some.any():
                     sk = sketch(values, first)
                     keys[some] = [hashlib.blake2b(values[a:z].tobytes(), digest_size=16).digest() for a, z in zip(first[:-1], first[1:])]
                     sketches[some] = [r.tobytes() for r in sk]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "n", "key", "sketch"])
+                    small[some] = [r.tobytes() for r in (sk & 255).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary())], names=["doc_id", "text_key", "n", "key", "sketch", "small"])
 
     rows = with_sets(docs.select("doc_id", "text"), size).select("doc_id", text_key().alias("text_key"), "set")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, n long, key binary, sketch binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, n long, key binary, sketch binary, small binary")
 
 
-def chosen(node: Column, level: int) -> list[Column]:
-    """The positions that a node selects: functions of its path alone."""
-    return [F.pmod(F.xxhash64(node, F.lit(level), F.lit(i)), F.lit(PERMUTATIONS)).cast("int") for i in range(BRANCH)]
+def chosen(node: Column, level: int, share: float) -> list[Column]:
+    """The positions that a node selects: functions of its path alone, the last of them null in some nodes below roots."""
+    at = [F.pmod(F.xxhash64(node, F.lit(level), F.lit(i)), F.lit(PERMUTATIONS)).cast("int") for i in range(BRANCH)]
+    extra = F.pmod(F.xxhash64(node, F.lit(-1)), F.lit(1000)) < int(1000 * (1 / share - 1))
+    return at if level == 0 else [at[0], F.when(extra, at[1])]
 
 
-def branched(rows: DataFrame, level: int) -> DataFrame:
+def branched(rows: DataFrame, level: int, share: float) -> DataFrame:
     """(node, key, sketch) -> the children's rows: the path grows by the position and the token there."""
     token = lambda p: F.substring(F.col("sketch"), p * 2 + 1, 2)
-    kids = F.array(*[F.xxhash64(F.col("node"), p, token(p)) for p in chosen(F.col("node"), level)])
-    return rows.select(F.explode(F.array_distinct(kids)).alias("node"), "key", "sketch")
+    kids = F.array(*[F.when(p.isNotNull(), F.xxhash64(F.col("node"), p, token(p))) for p in chosen(F.col("node"), level, share)])
+    return rows.select(F.explode(F.array_distinct(F.array_compact(kids))).alias("node"), "key", "sketch")
 
 
-def leaves(records: DataFrame) -> DataFrame:
+def leaves(records: DataFrame, share: float) -> DataFrame:
     """(node, key, sketch): each record once per small node that it falls into; nodes of one record are left out.
     Large nodes branch again; at the last level they become nodes of two blocks each."""
     roots = records.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("node"), "key", "sketch")
-    grown, done = branched(roots, 0).select("node", "key"), None
+    grown, done = branched(roots, 0, share).select("node", "key"), None
     sketches = records.select("key", "sketch")
     for level in range(1, DEPTH + 1):
         here = written(grown, f"level-{level}")
@@ -120,7 +125,7 @@ def leaves(records: DataFrame) -> DataFrame:
             return done
         rest = here.join(large, "node").select("node", "key", "_n")
         if level < DEPTH:
-            grown = branched(rest.join(sketches, "key"), level).select("node", "key")
+            grown = branched(rest.join(sketches, "key"), level, share).select("node", "key")
     blocks = rest.withColumn("_m", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("key"), F.col("_m")).cast("int"))
     pairs = blocks.select("key", "node", "_b", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"))
     split = pairs.select(F.xxhash64("node", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("node"), "key")
@@ -128,9 +133,9 @@ def leaves(records: DataFrame) -> DataFrame:
 
 
 def compared(rows: DataFrame, least: int, ratio: float, labelled: bool) -> DataFrame:
-    """Candidates among the records of each node, by sketch; rows (node, key, n, sketch[, label]). Without labels each
-    record a gives its best earlier partner b, with `same` equal positions; with labels, (node, a) for each record with
-    a candidate of another label."""
+    """(node, a, b, same) of each record a with a candidate in its node; rows (node, key, n, small[, label]), small: the
+    low bytes of the sketch. b is its best earlier partner, with `same` equal positions, or null if all came later. With
+    labels, only candidates of another label count."""
     ship(rows.sparkSession)
 
     def pairs(keys: np.ndarray, n: np.ndarray, sk: np.ndarray, lab: np.ndarray, starts: np.ndarray) -> tuple:
@@ -151,11 +156,9 @@ def compared(rows: DataFrame, least: int, ratio: float, labelled: bool) -> DataF
                 same = (sk[j] == sk[o]).sum(1, dtype=np.int16)
                 hit = same >= least
                 j, o, same = j[hit], o[hit], same[hit]
-                if labelled:
-                    met[j] = met[o] = True
-                else:
-                    up = same > best[j]
-                    best[j[up]], who[j[up]] = same[up], o[up]
+                met[j] = met[o] = True
+                up = same > best[j]
+                best[j[up]], who[j[up]] = same[up], o[up]
         return best, who, met
 
     def done(nodes: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -163,14 +166,10 @@ def compared(rows: DataFrame, least: int, ratio: float, labelled: bool) -> DataF
             new = np.concatenate([[True], nodes[1:] != nodes[:-1]])
             starts = np.maximum.accumulate(np.where(new, np.arange(len(nodes)), 0))
             best, who, met = pairs(*columns, starts)
-            j = np.flatnonzero(met if labelled else who >= 0)
-            if not len(j):
-                return
-            a = pa.array(columns[0][j].tolist(), pa.binary())
-            if labelled:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[j]), a], names=["node", "a"])
-            else:
-                yield pa.RecordBatch.from_arrays([a, pa.array(columns[0][who[j]].tolist(), pa.binary()), pa.array(best[j].astype(np.int32))], names=["a", "b", "same"])
+            j = np.flatnonzero(met)
+            if len(j):
+                partner = [k if w >= 0 else None for k, w in zip(columns[0][who[j]].tolist(), who[j].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[j]), pa.array(columns[0][j].tolist(), pa.binary()), pa.array(partner, pa.binary()), pa.array(best[j].astype(np.int32))], names=["node", "a", "b", "same"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fixed = lambda c, kind: np.frombuffer(b"".join(c.to_pylist()), kind)
@@ -179,7 +178,7 @@ def compared(rows: DataFrame, least: int, ratio: float, labelled: bool) -> DataF
             if not b.num_rows:
                 continue
             lab = fixed(b.column(4), "<u8").reshape(-1, 2)[:, 0] if labelled else np.zeros(b.num_rows, np.uint64)
-            part = (b.column(0).to_numpy(), fixed(b.column(1), "V16"), b.column(2).to_numpy(), fixed(b.column(3), np.uint16).reshape(-1, PERMUTATIONS), lab)
+            part = (b.column(0).to_numpy(), fixed(b.column(1), "V16"), b.column(2).to_numpy(), fixed(b.column(3), np.uint8).reshape(-1, PERMUTATIONS), lab)
             held = part if held is None else tuple(np.concatenate(x) for x in zip(held, part))
             before = np.flatnonzero(held[0] != held[0][-1])  # the last node may go on
             z = int(before[-1]) + 1 if len(before) else 0
@@ -188,8 +187,8 @@ def compared(rows: DataFrame, least: int, ratio: float, labelled: bool) -> DataF
         if held is not None:
             yield from done(*held)
 
-    columns = ["node", "key", "n", "sketch"] + ["label"] * labelled
-    return rows.select(*columns).repartition("node").sortWithinPartitions("node", "key").mapInArrow(run, "node long, a binary" if labelled else "a binary, b binary, same int")
+    columns = ["node", "key", "n", "small"] + ["label"] * labelled
+    return rows.select(*columns).repartition("node").sortWithinPartitions("node", "key").mapInArrow(run, "node long, a binary, b binary, same int")
 
 
 def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -306,16 +305,16 @@ def components(links: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) of every row."""
     rows = written(sketched(docs, size), "sketches")
-    records = written(rows.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id")), "records")
+    records = written(rows.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id")), "records")
     share = percent / 100
     least = int(PERMUTATIONS * share - 4.5 * (PERMUTATIONS * share * (1 - share)) ** 0.5)
-    nodes = written(leaves(records.select("key", "sketch")), "nodes")
-    full = nodes.join(records.select("key", "n", "sketch"), "key")
-    best = written(compared(full, least, share, False).groupBy("a").agg(F.max_by("b", "same").alias("b")), "best")
+    nodes = written(leaves(records.select("key", "sketch"), share), "nodes")
+    met = written(compared(nodes.join(records.select("key", "n", "small"), "key"), least, share, False), "met")
+    best = written(met.filter("b is not null").groupBy("a").agg(F.max_by("b", "same").alias("b")), "best")
     links = confirmed(best, docs, records, size, percent)
     label = written(components(links), "labels")
-    told = full.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    marked = written(compared(told, least, share, True), "marked")
+    told = met.select("node", F.col("a").alias("key")).join(records.select("key", "n", "small"), "key").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    marked = written(compared(told, least, share, True).select("node", "a"), "marked")
     if not marked.isEmpty():
         more = joined_in_nodes(marked, docs, records, label, size, percent)
         label = written(components(links.unionByName(more)), "labels")
