@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WRITTEN: dict[int, str] = {}
+#: Before the names of columns that are added to rows with columns of any other name.
+OWN = "__timberline_"
 
 
 def shared_dir(spark: SparkSession) -> str:

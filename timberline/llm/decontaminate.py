@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_ascii, text_of, written
+from .common import OWN, lower_ascii, text_of, written
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -92,6 +92,7 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns. Only texts with a hit are counted again."""
-    found = written(hits(docs, items, **options).select(F.col("text_key").alias("_key"), F.col("n_hit").alias("_hit")), "hits")
-    bad = docs.select(F.md5(text_of()).alias("_key"), "text").join(found, "_key").filter(decided(F.col("_hit"), F.size(words(text_of())))).select("_key").distinct()
-    return docs.withColumn("_key", F.md5(text_of())).join(written(bad, "contaminated"), "_key", "left_anti").drop("_key").select(*docs.columns)
+    key = f"{OWN}key"
+    found = written(hits(docs, items, **options).select(F.col("text_key").alias(key), "n_hit"), "hits")
+    bad = docs.select(F.md5(text_of()).alias(key), text_of().alias("text")).join(found, key).filter(decided(F.col("n_hit"), F.size(words(F.col("text"))))).select(key).distinct()
+    return docs.withColumn(key, F.md5(text_of())).join(written(bad, "contaminated"), key, "left_anti").select(*docs.columns)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import forget, lower_ascii, ship, text_of, written
+from .common import OWN, forget, lower_ascii, ship, text_of, written
 
 TREES, BRANCH, DEPTH, LEAF, BLOCK = 6, 2, 4, 1000, 500
 BROADCAST_ROWS = 500_000
@@ -332,9 +332,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs per component, with all columns."""
-    gone = written(labelled(docs, size, percent).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "removed")
-    here = docs.withColumn("_key", text_key())
-    kept = here.join(gone, (here["_key"] == gone["_key"]) & (here["doc_id"] == gone["_id"]), "left_anti").drop("_key")
+    key, own = f"{OWN}key", f"{OWN}id"
+    gone = written(labelled(docs.select("doc_id", "text"), size, percent).filter("not kept").select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct(), "removed")
+    here = docs.withColumn(key, text_key())
+    kept = here.join(gone, (here[key] == gone[key]) & (here["doc_id"] == gone[own]), "left_anti").select(*docs.columns)
     if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
-    return kept.select(*docs.columns)
+    return kept

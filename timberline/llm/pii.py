@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import spans as sp
-from .common import lower_ascii, text_of, written
+from .common import OWN, lower_ascii, text_of, written
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -80,7 +80,10 @@ def disclosing(docs: DataFrame, base: DataFrame, share: float = 0.9, support: in
     pairs = near.select("text_key", "value", "context", F.explode("near").alias("term")).distinct()
     often = pairs.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_x")).filter(F.col("n_x") >= support).drop("n_x")
     both = pairs.select("value", "term", "text_key").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_tc")).filter(F.col("n_tc") >= support)
-    likely = written(both.join(often, ["value", "term"]).join(per_value, "value"), "pairs")
+    # a term is in at least as many texts as it is near values; pairs that fail with that number fail with the whole
+    least = near.select("text_key", F.explode("near").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    most = F.col("n_tc") * F.pow(F.lit(float(total)) / F.col("n_c"), F.lit(1 - share)) * 1.000001
+    likely = written(both.join(often, ["value", "term"]).join(per_value, "value").join(least, "term").filter(F.col("n_near") <= most).drop("n_near"), "pairs")
     terms = likely.select("term").distinct()
     held = docs.select(F.md5(text_of()).alias("text_key"), F.explode(F.array_distinct(words(text_of()))).alias("term")).join(terms, "term", "left_semi").distinct()
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
@@ -88,20 +91,22 @@ def disclosing(docs: DataFrame, base: DataFrame, share: float = 0.9, support: in
     return bits.filter((F.col("ic") > 0) & (F.col("pmi") >= share * F.col("ic"))).select("term", "value", "pmi", "ic")
 
 
-def detect(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
-    """docs with `base` and `spans`, arrays of (kind, start, end, match); spans has the terms too, by kind and start."""
+def detect(docs: DataFrame, share: float = 0.9, support: int = 3, base_to: str = "base", to: str = "spans") -> DataFrame:
+    """docs with two columns (replaced if there are any): arrays of (kind, start, end, match) by kind and start, the
+    patterns' spans in base_to, those and the terms' in `to`."""
+    key, told_terms = f"{OWN}key", f"{OWN}terms"
     source = docs.select(F.md5(text_of()).alias("text_key"), text_of().alias("text"))
     likely = F.contains("text", F.lit("@")) | F.contains("text", F.lit("+")) | F.rlike("text", F.lit("[0-9]"))
     base = source.filter(likely).select("text_key", "text", base_spans(F.col("text")).alias("base"))
     terms = written(disclosing(docs, base, share, support).select("term").distinct(), "terms")
-    held = docs.select(F.md5(text_of()).alias("_key"), F.explode(F.array_distinct(words(text_of()))).alias("term")).join(terms, "term", "left_semi").distinct()
-    per_text = written(held.groupBy("_key").agg(F.sort_array(F.collect_set("term")).alias("_terms")), "texts-with-terms")
-    rows = docs.withColumn("_key", F.md5(text_of())).join(per_text, "_key", "left").withColumn("base", base_spans(text_of()))
-    longest = F.array_sort("_terms", lambda a, b: F.length(b) - F.length(a))
+    held = docs.select(F.md5(text_of()).alias(key), F.explode(F.array_distinct(words(text_of()))).alias("term")).join(terms, "term", "left_semi").distinct()
+    per_text = written(held.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias(told_terms)), "texts-with-terms")
+    rows = docs.withColumn(key, F.md5(text_of())).join(per_text, key, "left").withColumn(base_to, base_spans(text_of()))
+    longest = F.array_sort(told_terms, lambda a, b: F.length(b) - F.length(a))
     pattern = F.concat(F.lit(f"(?i)(?<![{WORD}])(?:"), F.array_join(longest, "|"), F.lit(f")(?![{WORD}])"))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    told = F.when(F.col("_terms").isNotNull(), F.filter(sp.find(text_of(), pattern, "term"), free)).otherwise(sp.no_spans())
-    return rows.select(*docs.columns, "base", F.concat("base", told).alias("spans"))
+    free = lambda s: ~F.exists(base_to, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    told = F.when(F.col(told_terms).isNotNull(), F.filter(sp.find(text_of(), pattern, "term"), free)).otherwise(sp.no_spans())
+    return rows.select(*(c for c in docs.columns if c not in (base_to, to)), base_to, F.concat(base_to, told).alias(to))
 
 
 def label(s: Column) -> Column:
@@ -112,9 +117,10 @@ def label(s: Column) -> Column:
 
 def sanitise(docs: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
     """docs with the spans' text replaced; n_chars, if there is one, follows the new text."""
-    found = detect(docs, share, support)
-    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s.alias("s"))))
-    text = F.when(F.size("spans") > 0, sp.replaced(text_of(), F.transform(by_start, lambda k: k["s"]), label)).otherwise(F.col("text"))
+    all_spans = f"{OWN}spans"
+    found = detect(docs, share, support, f"{OWN}base", all_spans)
+    by_start = F.array_sort(F.transform(all_spans, lambda s: F.struct(s["start"].alias("start"), s.alias("s"))))
+    text = F.when(F.size(all_spans) > 0, sp.replaced(text_of(), F.transform(by_start, lambda k: k["s"]), label)).otherwise(F.col("text"))
     out = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

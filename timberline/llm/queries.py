@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import chat, decontaminate, media, neardup, packing, pii, quality, secrets, spans, substrings, tokens
-from .common import documents, text_of
+from .common import documents, text_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +38,7 @@ def op3_prefix_join_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_pii_disclosure(spark: SparkSession, d: str) -> DataFrame:
-    found = pii.detect(documents(spark, d).select("doc_id", "text")).select("doc_id", "base", "spans")
+    found = written(pii.detect(documents(spark, d).select("doc_id", "text")).select("doc_id", "base", "spans"), "pii-spans")
     sha = F.sha2(spans.joined(F.col("base")).cast("binary"), 256)
     return found.select("doc_id", *(spans.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS), sha.alias("base_sha256"), spans.joined(F.col("spans")).alias("spans"))
 
@@ -65,7 +65,7 @@ def op8_suffix_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_secret_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    found = secrets.scan(documents(spark, d).select("doc_id", "text")).select("doc_id", "spans")
+    found = written(secrets.scan(documents(spark, d).select("doc_id", "text")).select("doc_id", "spans"), "secret-spans")
     kinds = [r.kind for r in secrets.BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
     counted = found.select("doc_id", base.alias("base"), "spans")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import spans as sp
-from .common import text_of, written
+from .common import OWN, text_of, written
 
 
 @dataclass(frozen=True)
@@ -168,21 +168,23 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return all_spans
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """docs with `spans`, an array of (kind, start, end, match) by start and then rule."""
+def scan(docs: DataFrame, rules: list[Rule] | None = None, to: str = "spans") -> DataFrame:
+    """docs with the column `to` (replaced if there is one): an array of (kind, start, end, match) by start, then rule."""
     rules = BASE + MORE if rules is None else rules
     found, full = candidates(docs, rules)
-    rows = docs.withColumn("_key", F.md5(text_of()))
+    key, kinds = f"{OWN}key", f"{OWN}kinds"
+    rows = docs.withColumn(key, F.md5(text_of()))
     if found is None:
-        rows = rows.withColumn("_kinds", F.array().cast("array<string>"))
+        rows = rows.withColumn(kinds, F.array().cast("array<string>"))
     else:
-        rows = rows.join(written(found.select(F.col("text_key").alias("_key"), F.col("kinds").alias("_kinds")), "candidates"), "_key", "left")
-    each = [spans_of(text_of(), r) if r.kind in full else F.when(F.array_contains("_kinds", r.kind), spans_of(text_of(), r)).otherwise(sp.no_spans()) for r in rules]
+        rows = rows.join(written(found.select(F.col("text_key").alias(key), F.col("kinds").alias(kinds)), "candidates"), key, "left")
+    each = [spans_of(text_of(), r) if r.kind in full else F.when(F.array_contains(kinds, r.kind), spans_of(text_of(), r)).otherwise(sp.no_spans()) for r in rules]
     each = [F.coalesce(e, sp.no_spans()) for e in each]
-    return rows.select(*docs.columns, sp.in_order(F.concat(*each), ["start", "kind"], [r.kind for r in rules]).alias("spans"))
+    return rows.select(*(c for c in docs.columns if c != to), sp.in_order(F.concat(*each), ["start", "kind"], [r.kind for r in rules]).alias(to))
 
 
 def redact(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """docs with secrets replaced by [KIND]."""
     label = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-    return scan(docs, rules).withColumn("text", sp.replaced(text_of(), F.col("spans"), label)).select(*docs.columns)
+    found = scan(docs, rules, f"{OWN}spans")
+    return found.withColumn("text", sp.replaced(text_of(), F.col(f"{OWN}spans"), label)).select(*docs.columns)
