@@ -180,7 +180,7 @@ def maximal_repeats(contexts: list[bytes], lefts: list[int], size: int) -> list[
     return out
 
 
-def repeats(docs: DataFrame, size: int = 200, most: int = 20_000) -> DataFrame:
+def repeats(docs: DataFrame, size: int = 200, most: int = 60_000) -> DataFrame:
     """(h, n, spans): of each text with repeated passages, the array of (start, end) to remove, not merged."""
     known = written(all_anchors(docs, size), "anchors")
     kinds = written(known.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("often"), F.min(F.struct("h", "n", "pos")).alias("one")), "surroundings")
