@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -29,18 +29,21 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once per application: their Python workers import it. Batches between Spark
+    """Sends this package to the executors by the shared folder, once per application: their Python workers import it. Batches between Spark
     and Python are kept small, as rows hold whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     context = spark.sparkContext
     if getattr(context, "_timberline", None) != context.applicationId:
-        root = Path(__file__).parents[1]
-        out = os.path.join(tempfile.mkdtemp(prefix="timberline-"), "timberline.zip")
-        with zipfile.ZipFile(out, "w") as z:
+        root, packed = Path(__file__).parents[1], io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
-        context.addPyFile(out)
+        at = context._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/timberline.zip")
+        out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        context.addPyFile(at.toString())
         context._timberline = context.applicationId
 
 
