@@ -181,6 +181,38 @@ def test_chats(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against a plain version of it, on what the stage before kept; run() gives the last one's pieces."""
     import corpus_pipeline
 
-    assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.run(spark, D).count() > 0
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    names = docs.columns
+    model = quality.fit(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, D).cache()
+        assert docs.columns == names
+        got = {r.doc_id: r.text for r in docs.collect()}
+        assert len(got) == docs.count()
+        if i == 0:
+            want = {d: t for d, t in texts.items() if scores[d] >= 0.7}
+        elif i == 1:
+            classes = brute.components(list(texts.items()), 5, 80)
+            want = {d: t for d, t in texts.items() if classes[d][1] == d}
+        elif i == 2:
+            marks = brute.contamination(list(texts.items()), items)
+            want = {d: t for d, t in texts.items() if not marks[d][4]}
+        else:
+            assert not any(brute.pii(t)[1] for t in got.values())
+            want = {d: got.get(d) if brute.pii(t)[1] else t for d, t in texts.items()}
+            got = {d: t if brute.pii(texts[d])[1] or "[TERM]" not in t else texts[d] for d, t in got.items()}
+        assert got == want, name
+        texts = {r.doc_id: r.text for r in docs.collect()}
+    pieces = corpus_pipeline.run(spark, D).toPandas()
+    ids = dict(zip(texts, encoded(list(texts.items()))))
+    assert set(pieces.doc_id) == set(ids)
+    for d, g in pieces.groupby("doc_id"):
+        g = g.sort_values("piece")
+        assert list(g.start) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(ids[d])
+        assert [zlib.crc32(ids[d][a : a + n].tobytes()) for a, n in zip(g.start, g.length)] == list(g.ids_crc32)
