@@ -316,9 +316,9 @@ def _(spark, d):
     return spark.range(100, 201).select(F.lpad(i, 6, "0").alias("key"), F.concat(F.lit("value"), i, F.lit("@3")).alias("value"))
 
 
-@query("amplification", "with h as (select o_orderkey as step, 1 as flushes, o_custkey % 7 + 1 as writes, o_custkey % 40 as files, o_orderkey % 3 as l0, o_orderkey % 4 as used from orders where o_orderkey <= 2000) select sum(writes) / sum(flushes) as write_amp, max(files) / sum(flushes) as space_amp, (select l0 + used from h order by step desc limit 1) as read_amp from h")
+@query("amplification", "with h as (select o_orderkey as step, 1 as flushes, o_custkey % 7 + 1 as writes, o_custkey % 40 as files, o_orderkey % 3 as l0, o_orderkey % 4 as used from orders) select sum(writes) / sum(flushes) as write_amp, max(files) / sum(flushes) as space_amp, (select l0 + used from h order by step desc limit 1) as read_amp from h")
 def _(spark, d):
-    h = table(spark, d, "orders").filter("o_orderkey <= 2000").select(F.col("o_orderkey").alias("step"), F.lit(1).alias("flushes"), (F.col("o_custkey") % 7 + 1).alias("writes"), (F.col("o_custkey") % 40).alias("files"), (F.col("o_orderkey") % 3).alias("l0_files"), (F.col("o_orderkey") % 4).alias("levels_used"))
+    h = table(spark, d, "orders").select(F.col("o_orderkey").alias("step"), F.lit(1).alias("flushes"), (F.col("o_custkey") % 7 + 1).alias("writes"), (F.col("o_custkey") % 40).alias("files"), (F.col("o_orderkey") % 3).alias("l0_files"), (F.col("o_orderkey") % 4).alias("levels_used"))
     return plans.amplification(h)
 
 
