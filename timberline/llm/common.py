@@ -65,11 +65,18 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def forget(*tables: DataFrame) -> None:
+    """Removes written tables that no later step reads."""
     for t in tables:
         if path := WRITTEN.pop(id(t), None):
             drop(t.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps: its cleaner sees that they are done when the driver collects garbage, and a
+    driver with little to do may not for half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import OWN, forget, lower_ascii, ship, text_of, written
+from .common import OWN, forget, lower_ascii, release, ship, text_of, written
 
 TREES, BRANCH, DEPTH, LEAF, BLOCK = 6, 2, 4, 1000, 500
 BROADCAST_ROWS = 500_000
@@ -110,10 +110,10 @@ def branched(rows: DataFrame, level: int, share: float) -> DataFrame:
 
 
 def leaves(records: DataFrame, share: float) -> DataFrame:
-    """(node, key, sketch): each record once per small node that it falls into; nodes of one record are left out.
+    """(node, key), written: each record once per small node that it falls into; nodes of one record are left out.
     Large nodes branch again; at the last level they become nodes of two blocks each."""
     roots = records.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("node"), "key", "sketch")
-    grown, done = branched(roots, 0, share).select("node", "key"), None
+    grown, done, made = branched(roots, 0, share).select("node", "key"), None, []
     sketches = records.select("key", "sketch")
     for level in range(1, DEPTH + 1):
         here = written(grown, f"level-{level}")
@@ -121,15 +121,25 @@ def leaves(records: DataFrame, share: float) -> DataFrame:
         small = here.join(count.filter(f"_n between 2 and {LEAF}").select("node"), "node", "left_semi")
         done = small if done is None else done.unionByName(small)
         large = written(count.filter(f"_n > {LEAF}"), "large")
+        made += [here, large]
         if large.isEmpty():
-            return done
+            break
         rest = here.join(large, "node").select("node", "key", "_n")
         if level < DEPTH:
             grown = branched(rest.join(sketches, "key"), level, share).select("node", "key")
+    else:
+        done = done.unionByName(in_blocks(rest))
+    out = written(done, "nodes")
+    forget(*made)
+    return out
+
+
+def in_blocks(rest: DataFrame) -> DataFrame:
+    """(node, key) of large nodes (node, key, _n), as nodes of two blocks each."""
     blocks = rest.withColumn("_m", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("key"), F.col("_m")).cast("int"))
     pairs = blocks.select("key", "node", "_b", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"))
     split = pairs.select(F.xxhash64("node", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("node"), "key")
-    return done.unionByName(split.distinct())
+    return split.distinct()
 
 
 def compared(rows: DataFrame, least: int, ratio: float, labelled: bool) -> DataFrame:
@@ -305,23 +315,36 @@ def components(links: DataFrame) -> DataFrame:
 def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept) of every row."""
     rows = written(sketched(docs, size), "sketches")
+    named = written(rows.select("doc_id", "text_key", "n", "key"), "rows")
     records = written(rows.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id")), "records")
+    forget(rows)
+    release(docs.sparkSession)
     share = percent / 100
     least = int(PERMUTATIONS * share - 4.5 * (PERMUTATIONS * share * (1 - share)) ** 0.5)
-    nodes = written(leaves(records.select("key", "sketch"), share), "nodes")
+    nodes = leaves(records.select("key", "sketch"), share)
+    release(docs.sparkSession)
     met = written(compared(nodes.join(records.select("key", "n", "small"), "key"), least, share, False), "met")
+    forget(nodes)
+    release(docs.sparkSession)
     best = written(met.filter("b is not null").groupBy("a").agg(F.max_by("b", "same").alias("b")), "best")
     links = confirmed(best, docs, records, size, percent)
+    forget(best)
+    release(docs.sparkSession)
     label = written(components(links), "labels")
     told = met.select("node", F.col("a").alias("key")).join(records.select("key", "n", "small"), "key").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     marked = written(compared(told, least, share, True).select("node", "a"), "marked")
+    forget(met)
+    release(docs.sparkSession)
     if not marked.isEmpty():
         more = joined_in_nodes(marked, docs, records, label, size, percent)
+        forget(marked, label)
         label = written(components(links.unionByName(more)), "labels")
     roots = records.select("key", "doc_id").join(label, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("root"))
     first = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = written(roots.join(first, "root").select("key", "component_id"), "components")
-    named = rows.join(of, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    forget(records, label)
+    release(docs.sparkSession)
+    named = named.join(of, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return named.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -334,6 +357,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs per component, with all columns."""
     key, own = f"{OWN}key", f"{OWN}id"
     gone = written(labelled(docs.select("doc_id", "text"), size, percent).filter("not kept").select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct(), "removed")
+    release(docs.sparkSession)
     here = docs.withColumn(key, text_key())
     kept = here.join(gone, (here[key] == gone[key]) & (here["doc_id"] == gone[own]), "left_anti").select(*docs.columns)
     if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
