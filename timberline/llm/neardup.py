@@ -354,10 +354,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs per component, with all columns."""
+    """One row of docs per component, with all columns. Up to BROADCAST_ROWS removed rows are broadcast; beyond, texts move once."""
     key, own = f"{OWN}key", f"{OWN}id"
     gone = written(labelled(docs.select("doc_id", "text"), size, percent).filter("not kept").select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct(), "removed")
     release(docs.sparkSession)
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     here = docs.withColumn(key, text_key())
     kept = here.join(gone, (here[key] == gone[key]) & (here["doc_id"] == gone[own]), "left_anti").select(*docs.columns)
     if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
