@@ -60,6 +60,16 @@ def test_disclosing_terms(spark):
     assert any(s.kind == "term" and s.match == "zarquon" for s in got[200]) and not any(got[i] for i in range(60))
 
 
+def test_terms_with_digits(spark):
+    """Terms with digits and short ones are found, and the former are generalised to their shape."""
+    fill = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
+    rows = [(i, " ".join(fill[(i * k) % 12] for k in range(1, 9)) + f" own{i}x") for i in range(60)]
+    rows += [(100 + i, f"{fill[i]} {fill[i + 1]} Emp4471 {fill[i + 2]} zq 907 q@mail.example.org, +1 (555) 010-9999 {fill[i + 3]}") for i in range(5)] + [(200, "only emp4471 and 907 zq here, not emp447 or 555")]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == "only xxx0000 and 000 [TERM] here, not emp447 or 555" and all(got[i] == t for i, t in rows[:60])
+    assert all(got[100 + i] == f"{fill[i]} {fill[i + 1]} xxx0000 {fill[i + 2]} [TERM] 000 [EMAIL], [PHONE] {fill[i + 3]}" for i in range(5))
+
+
 def test_secrets(spark, docs):
     got = secrets.scan(docs[0], secrets.BASE).selectExpr("doc_id", "transform(spans, s -> concat_ws(':', s.kind, s.start, s.end)) as spans").collect()
     want = {d: brute.secrets(t)[1] for d, t in docs[1]}

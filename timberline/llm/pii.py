@@ -60,16 +60,27 @@ def value_of(s: Column) -> Column:
     return F.concat(s["kind"], F.lit(":"), F.when(s["kind"].isin("card", "phone"), digits(s["match"])).otherwise(lower_ascii(s["match"])))
 
 
+def outside(text: Column, spans: Column) -> Column:
+    """text with the characters of spans, which may overlap, blanked; places stay."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - start, F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), blank).alias("out"))
+
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.aggregate(by_start, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
 def contexts(found: DataFrame) -> DataFrame:
     """found (text_key, text, base) -> (text_key, value, near, context): the words near each value, without those of
     other values, and a hash of them in order. Linear in the values: at most 2 * NEAR words each."""
-    each = found.select("text_key", "text", F.explode("base").alias("s"))
-    no_values = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, EMAIL, " "), PHONE, " "), r"[0-9](?:[\x20.-]?[0-9])*+", " ")
-    left = words(no_values(F.substring(F.col("text"), F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))))
-    right = words(no_values(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH))))
+    each = found.filter(F.size("base") > 0).select("text_key", outside(F.col("text"), F.col("base")).alias("text"), F.explode("base").alias("s"))
+    left = words(F.substring(F.col("text"), F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH))))
+    right = words(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH)))
     near = each.select("text_key", value_of(F.col("s")).alias("value"), F.slice(F.reverse(left), 1, NEAR).alias("l"), F.slice(right, 1, NEAR).alias("r"))
-    both = near.select("text_key", "value", F.array_distinct(F.concat("l", "r")).alias("near"), F.xxhash64("l", "r").alias("context"))
-    return both.select("text_key", "value", F.filter("near", lambda w: (F.length(w) >= 3) & F.rlike(w, F.lit("[^0-9]"))).alias("near"), "context")
+    return near.select("text_key", "value", F.array_distinct(F.concat("l", "r")).alias("near"), F.xxhash64("l", "r").alias("context"))
 
 
 def disclosing(docs: DataFrame, base: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
