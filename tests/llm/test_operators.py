@@ -70,6 +70,30 @@ def test_terms_with_digits(spark):
     assert all(got[100 + i] == f"{fill[i]} {fill[i + 1]} xxx0000 {fill[i + 2]} [TERM] 000 [EMAIL], [PHONE] {fill[i + 3]}" for i in range(5))
 
 
+def test_terms_of_whole_texts(spark):
+    """A name far from the address, or in the same footer of otherwise different texts, reveals it; copies don't count."""
+    fill = [f"{a}{b}" for a in ("lorem", "ipsum", "dolor", "amet") for b in "abcdefghijkl"]
+    some = lambda i, n: " ".join(fill[(i * 7 + k * (i % 5 + 1)) % 48] for k in range(n))
+    rows = [(i, some(i, 40) + f" own{i}x") for i in range(60)]
+    rows += [(100 + i, f"Zarquon {some(i, 40)} mail zq@mail.example.org") for i in range(5)]
+    rows += [(110 + i, f"{some(i + 9, 40)} yours one two three four Trillian six seven t@mail.example.org eight nine ten eleven twelve some other last end") for i in range(5)]
+    rows += [(120 + i, "Marvin m@mail.example.org") for i in range(5)] + [(200, "only zarquon, trillian and marvin here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[200] == "only [TERM], [TERM] and marvin here"
+    words = {t: set(brute.WORD.findall(brute.EMAIL.sub(" ", t).translate(brute.LOW))) for t in {t for _, t in rows}}
+    mails = {t: set(m[0] for m in brute.EMAIL.finditer(t)) for t in words}
+    want = set()
+    for c in set.union(*mails.values()):
+        n_c = sum(c in m for m in mails.values())
+        for w in set.union(*words.values()):
+            n_tc = sum(c in mails[t] and w in words[t] for t in words)
+            n_t = sum(w in brute.WORD.findall(t.translate(brute.LOW)) for t in words)
+            if n_tc >= 3 and np.log2(len(words) * n_tc / (n_t * n_c)) >= 0.9 * np.log2(len(words) / n_c):
+                want.add((w, f"email:{c}"))
+    base = df.selectExpr("md5(text) as text_key", "text").withColumn("base", pii.base_spans(df["text"]))
+    assert {(r.term, r.value) for r in pii.disclosing(df, base).collect()} == want
+
+
 def test_secrets(spark, docs):
     got = secrets.scan(docs[0], secrets.BASE).selectExpr("doc_id", "transform(spans, s -> concat_ws(':', s.kind, s.start, s.end)) as spans").collect()
     want = {d: brute.secrets(t)[1] for d, t in docs[1]}

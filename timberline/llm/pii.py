@@ -2,10 +2,10 @@
 
 Emails, IP addresses, card and phone numbers are protected values. Which other terms reveal one is estimated from the
 whole corpus: with N distinct texts, a value c in n(c) of them carries IC(c) = log2(N / n(c)) bits, and a term t that
-stands near c in n(t, c) of the n(t) texts that hold it tells PMI(t; c) = log2(N n(t, c) / (n(t) n(c))) of them. A term
-exceeds the disclosure threshold if PMI >= share * IC, in at least `support` texts and `support` different contexts (so
-that copies of one passage are no evidence). Such a term is a span in every text: one with digits is generalised to its
-shape, any other is removed.
+shares n(t, c) of the n(t) texts that hold it with c tells PMI(t; c) = log2(N n(t, c) / (n(t) n(c))) of them. A term
+exceeds the disclosure threshold if PMI >= share * IC, in at least `support` distinct texts (so that copies of a text
+are no evidence). Such a term is a span in every text: one with digits is generalised to its shape, any other is
+removed.
 
 Rows: null and empty texts have no spans; copies count once in the statistics and each row gets its spans; null doc_ids
 and repeated rows keep a row each; an empty table gives an empty one; only doc_id and text are read.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import spans as sp
-from .common import OWN, lower_ascii, text_of, written
+from .common import OWN, forget, lower_ascii, text_of, written
 
 KINDS = ["email", "ip", "card", "phone"]
 LOCAL = "A-Za-z0-9._%+-"
@@ -25,8 +25,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"0-9A-Za-z\x{80}-\x{10FFFF}"
-REACH = 160  # characters on either side of a value that are searched for its context
-NEAR = 8  # words of them
+BROADCAST_TERMS = 1_000_000
 
 
 def digits(c: Column) -> Column:
@@ -73,31 +72,46 @@ def outside(text: Column, spans: Column) -> Column:
     return F.aggregate(by_start, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def contexts(found: DataFrame) -> DataFrame:
-    """found (text_key, text, base) -> (text_key, value, near, context): the words near each value, without those of
-    other values, and a hash of them in order. Linear in the values: at most 2 * NEAR words each."""
-    each = found.filter(F.size("base") > 0).select("text_key", outside(F.col("text"), F.col("base")).alias("text"), F.explode("base").alias("s"))
-    left = words(F.substring(F.col("text"), F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH))))
-    right = words(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH)))
-    near = each.select("text_key", value_of(F.col("s")).alias("value"), F.slice(F.reverse(left), 1, NEAR).alias("l"), F.slice(right, 1, NEAR).alias("r"))
-    return near.select("text_key", "value", F.array_distinct(F.concat("l", "r")).alias("near"), F.xxhash64("l", "r").alias("context"))
+def contents(found: DataFrame) -> DataFrame:
+    """found (text_key, text, base) -> (text_key, values, terms) of each distinct text with values: its distinct values,
+    and its distinct words outside them."""
+    each = found.filter(F.size("base") > 0).select("text_key", F.array_distinct(F.transform("base", value_of)).alias("values"), F.array_distinct(words(outside(F.col("text"), F.col("base")))).alias("terms"))
+    return each.dropDuplicates(["text_key"])
+
+
+def holding(docs: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """(key, term) of each distinct text and the terms among its words. Up to BROADCAST_TERMS terms (written) are
+    broadcast to spare all other words the move."""
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    return docs.select(F.md5(text_of()).alias(key), F.explode(F.array_distinct(words(text_of()))).alias("term")).join(terms, "term", "left_semi").distinct()
 
 
 def disclosing(docs: DataFrame, base: DataFrame, share: float = 0.9, support: int = 3) -> DataFrame:
-    """(term, value, pmi, ic) beyond the threshold, from all of docs. base (text_key, text, base): texts with values."""
+    """(term, value, pmi, ic) beyond the threshold, from all of docs. base (text_key, text, base): texts with values.
+
+    Where PMI reaches the threshold, n(t) <= n(t, c) * (N / n(c)) ** (1 - share). Terms are first held against that with
+    n(c) for n(t, c) and their count in texts with values for n(t): pairs are made only of values and terms that pass."""
     total = docs.select(F.md5(text_of()).alias("text_key")).distinct().count()
-    near = written(contexts(base).distinct(), "contexts")
-    per_value = near.select("text_key", "value").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
-    pairs = near.select("text_key", "value", "context", F.explode("near").alias("term")).distinct()
-    often = pairs.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_x")).filter(F.col("n_x") >= support).drop("n_x")
-    both = pairs.select("value", "term", "text_key").distinct().groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_tc")).filter(F.col("n_tc") >= support)
-    # a term is in at least as many texts as it is near values; pairs that fail with that number fail with the whole
-    least = near.select("text_key", F.explode("near").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    most = F.col("n_tc") * F.pow(F.lit(float(total)) / F.col("n_c"), F.lit(1 - share)) * 1.000001
-    likely = written(both.join(often, ["value", "term"]).join(per_value, "value").join(least, "term").filter(F.col("n_near") <= most).drop("n_near"), "pairs")
-    terms = likely.select("term").distinct()
-    held = docs.select(F.md5(text_of()).alias("text_key"), F.explode(F.array_distinct(words(text_of()))).alias("term")).join(terms, "term", "left_semi").distinct()
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    held_in = written(contents(base), "contents")
+    valued = held_in.select("text_key", F.explode("values").alias("value"))
+    spread = F.pow(F.lit(float(total)) / F.col("n_c"), F.lit(1 - share)) * 1.000001
+    per_value = valued.groupBy("value").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support).withColumn("spread", spread)
+    known = written(valued.join(per_value, "value"), "values")
+    reach = known.groupBy("text_key").agg(F.max(F.col("n_c") * F.col("spread")).alias("reach"))
+    each = written(held_in.join(reach, "text_key").select("text_key", "reach", F.explode("terms").alias("term")), "terms-by-text")
+    # a term is in at least as many texts as hold values too; pairs that fail with that number fail with the whole
+    least = each.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"), F.max("reach").alias("most")).filter((F.col("n_near") >= support) & (F.col("n_near") <= F.col("most"))).drop("most")
+    rare = each.join(least, "term").filter(F.col("n_near") <= F.col("reach")).select("text_key", "term", "n_near")
+    pairs = rare.join(known, "text_key").filter(F.col("n_near") <= F.col("n_c") * F.col("spread"))
+    both = pairs.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_tc"), F.first("n_c").alias("n_c"), F.first("spread").alias("spread"), F.first("n_near").alias("n_near"))
+    likely = written(both.filter((F.col("n_tc") >= support) & (F.col("n_near") <= F.col("n_tc") * F.col("spread"))).drop("n_near"), "pairs")
+    forget(held_in, known, each)
+    bound = written(likely.groupBy("term").agg(F.max(F.col("n_tc") * F.col("spread")).alias("most")), "likely-terms")
+    # the texts of one slice alone already show that a frequent term is in too many: only the rest are counted in all
+    part = holding(docs.filter(F.md5(text_of()).startswith("0")), bound.select("term"), "text_key").groupBy("term").agg(F.count(F.lit(1)).alias("n_part"))
+    rest = written(bound.join(part, "term", "left").filter(F.coalesce("n_part", F.lit(0)) <= F.col("most")).select("term"), "rare-terms")
+    df = holding(docs, rest, "text_key").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     bits = likely.join(df, "term").withColumn("ic", F.log2(F.lit(float(total)) / F.col("n_c"))).withColumn("pmi", F.log2(F.lit(float(total)) * F.col("n_tc") / (F.col("n_t") * F.col("n_c"))))
     return bits.filter((F.col("ic") > 0) & (F.col("pmi") >= share * F.col("ic"))).select("term", "value", "pmi", "ic")
 
@@ -110,8 +124,7 @@ def detect(docs: DataFrame, share: float = 0.9, support: int = 3, base_to: str =
     likely = F.contains("text", F.lit("@")) | F.contains("text", F.lit("+")) | F.rlike("text", F.lit("[0-9]"))
     base = source.filter(likely).select("text_key", "text", base_spans(F.col("text")).alias("base"))
     terms = written(disclosing(docs, base, share, support).select("term").distinct(), "terms")
-    held = docs.select(F.md5(text_of()).alias(key), F.explode(F.array_distinct(words(text_of()))).alias("term")).join(terms, "term", "left_semi").distinct()
-    per_text = written(held.groupBy(key).agg(F.sort_array(F.collect_set("term")).alias(told_terms)), "texts-with-terms")
+    per_text = written(holding(docs, terms, key).groupBy(key).agg(F.sort_array(F.collect_set("term")).alias(told_terms)), "texts-with-terms")
     rows = docs.withColumn(key, F.md5(text_of())).join(per_text, key, "left").withColumn(base_to, base_spans(text_of()))
     longest = F.array_sort(told_terms, lambda a, b: F.length(b) - F.length(a))
     pattern = F.concat(F.lit(f"(?i)(?<![{WORD}])(?:"), F.array_join(longest, "|"), F.lit(f")(?![{WORD}])"))
