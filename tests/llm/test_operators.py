@@ -214,6 +214,17 @@ def test_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "id long, seq long, text string"), model).count() == 0
 
 
+def test_chat_texts(spark):
+    """Turns hold the whole text: blank lines, and words like markers where the role goes on."""
+    first, later, mark = (lambda s: chat.observe(s, False)[0]), (lambda s: chat.observe(s, True)[0]), chat.observe("A: 42", False)[0]
+    model = chat.Hmm.fit([([first("User: what?"), first("Assistant: so:"), mark, later("and more")], [2, 4, 5, 5])] * 50)
+    assert chat.parse(["User: what?", "Assistant: so:\nA: 42\n\nand more", None], model) == [("user", "what?"), ("assistant", "so:\nA: 42\n\nand more\n")]
+    got = queries.op2_chat_hmm(spark, "/root/testdata/sf0.01").toPandas().sort_values(["conv_id", "turn"]).groupby("conv_id")
+    known = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").toPandas().sort_values(["conv_id", "turn"]).groupby("conv_id")
+    same = got.role.agg(list) == known.role.agg(list)
+    assert (got.text.agg(list)[same] == known.text.agg(list)[same]).all()
+
+
 def test_pipeline(spark):
     """Each stage against a plain version of it, on what the stage before kept; run() gives the last one's pieces."""
     import corpus_pipeline

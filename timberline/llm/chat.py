@@ -4,7 +4,7 @@ Hidden states are (role, first line of a turn or a later one); a line is observe
 features (blank line before, question mark, length). Start, transition and emission probabilities are counts over
 transcripts with known roles. Viterbi gives the likeliest roles, also of lines without a marker.
 
-Rows: null texts count as empty and keep their line; an id of null is a transcript of its own; repeated rows are
+Rows: null texts count as empty and keep their line, but a transcript of blank lines has no turn; an id of null is a transcript of its own; repeated rows are
 repeated lines, ordered by seq and then text; an empty table gives an empty one; only the named columns are read.
 """
 
@@ -74,33 +74,42 @@ class Hmm:
         return path[::-1]
 
 
-def split_lines(chunks: list[str]) -> tuple[list[int], list[str], list[int]]:
-    """(observations, lines without markers, chunk of each); blank lines only mark what follows them."""
+def split_lines(chunks: list[str]) -> tuple[list[int], list[tuple[list[str], str, str]], list[int], list[str]]:
+    """(observations, (blank lines before, raw line, line without its marker) of each, chunk of each, blank lines after
+    the last); blank lines are not observed, they only mark what follows them."""
     obs, lines, of = [], [], []
-    blank = True
+    blanks: list[str] = []
     for i, c in enumerate(chunks):
         for line in (c or "").split("\n"):
             if not line.strip():
-                blank = True
+                blanks.append(line)
                 continue
-            o, rest = observe(line, blank)
+            o, rest = observe(line, not lines or bool(blanks))
             obs.append(o)
-            lines.append(rest)
+            lines.append((blanks, line, rest))
             of.append(i)
-            blank = False
-    return obs, lines, of
+            blanks = []
+    return obs, lines, of, blanks
 
 
 def parse(chunks: list[str], model: Hmm) -> list[tuple[str, str]]:
-    """Turns (role, text) of one transcript."""
-    obs, lines, _ = split_lines(chunks)
+    """Turns (role, text) of one transcript, with their blank lines. A marker goes only where a turn begins; without one,
+    the blank line before a turn is its mark and goes."""
+    obs, lines, _, after = split_lines(chunks)
     turns: list[tuple[str, list[str]]] = []
-    for s, line in zip(model.viterbi(obs), lines):
+    for s, (blanks, line, rest) in zip(model.viterbi(obs), lines):
         role, later = STATES[s]
         if later and turns:
-            turns[-1][1].append(line)
-        else:
-            turns.append((ROLES[role], [line]))
+            turns[-1][1].extend([*blanks, line])
+            continue
+        if rest == line:
+            blanks = blanks[:-1]
+        if turns:
+            turns[-1][1].extend(blanks)
+            blanks = []
+        turns.append((ROLES[role], [*blanks, rest]))
+    if turns:
+        turns[-1][1].extend(after)
     return [(r, "\n".join(x)) for r, x in turns]
 
 
@@ -113,7 +122,7 @@ def learn(known: DataFrame, marked: Column, max_rows: int = 20_000) -> Hmm:
         by.setdefault(r.id, []).append(r)
     sequences = []
     for part in by.values():
-        obs, _, of = split_lines([r.raw for r in part])
+        obs, _, of, _ = split_lines([r.raw for r in part])
         states = [STATES.index((ROLES.index(part[c].role), 0 if i == 0 or of[i - 1] != c else 1)) if part[c].role in ROLES else 2 for i, c in enumerate(of)]
         sequences.append((obs, states))
     return Hmm.fit(sequences)
