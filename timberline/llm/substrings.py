@@ -6,10 +6,10 @@ equal anchors at equal places, and suffixes are sorted together with those of th
 
 - anchors whose whole surroundings (as far as a window can reach) occur twice are repeated all over; only a hash moves;
 - of the others, one occurrence of each distinct surroundings is gathered, and the suffixes from the anchor on are
-  sorted with their common-prefix lengths. A stack scan gives the tree of intervals; an interval whose members differ
-  on the left is a maximal repeat of all its occurrences, and one whose members agree hands them to the interval above.
-  In each interval, suffixes sorted by what stands left of the anchor tell how far each member's repeat extends there.
-  Left and right reach together, if they come to `size` bytes, are the repeat at that member.
+  sorted with their common-prefix lengths. A stack scan gives the tree of intervals. In each interval, suffixes sorted
+  by what stands left of the anchor tell how far each member's repeat extends there. Left and right reach together, if
+  they come to `size` bytes, are the repeat at that member. This takes the place of a test of intervals for different
+  bytes on the left; groups of occurrences are not output.
 
 Anchors with more than `most` distinct surroundings are split: each window of the size around them is hashed and
 counted on the cluster, which gives the same bytes without gathering the group.
