@@ -173,6 +173,14 @@ def test_near_duplicates(spark, docs):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_keep_one_tells_rows_apart(spark):
+    """Rows of one doc_id with unlinked texts stay; of equal rows one stays; a group without doc_ids keeps one row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a, 1), (1, b, 2), (1, b, 3), (2, a + " more", 4), (None, c, 5), (None, c, 6), (None, c + " more", 7), (None, a, 8), (3, None, 9), (3, "", 10), (4, " ", 11)]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, chosen int"), 3, 85).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == sorted([(1, a), (1, b), (0, c), (3, ""), (4, " ")])
+
+
 def test_large_nodes_are_split(spark, monkeypatch):
     monkeypatch.setattr(neardup, "LEAF", 6)
     monkeypatch.setattr(neardup, "BLOCK", 4)

@@ -16,8 +16,9 @@ common paths doesn't fall with depth; six trees miss a pair about once in ten th
 often above it. The sketch test lies 4.5 standard deviations below the bound.
 
 Rows: texts without words (null, empty, white space) link with nothing; repeated rows have one set; rows that share a
-doc_id are told apart by their sets; a row without doc_id keeps a null component and is kept; an empty table gives an
-empty one; only doc_id and text are read.
+doc_id are told apart by their sets, and keep_one by their texts; a row without doc_id has a null component, and
+keep_one keeps it only where its group has no other row before it; an empty table gives an empty one; only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -313,10 +314,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id, kept) of every row."""
+    """(doc_id, text_key, n_shingles, component_id, kept, chosen) of every row; chosen: the least row of its component by
+    doc_id and text, with any that repeat it, or a row without words."""
     rows = written(sketched(docs, size), "sketches")
     named = written(rows.select("doc_id", "text_key", "n", "key"), "rows")
-    records = written(rows.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("doc_id")), "records")
+    records = written(rows.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one")).select("key", "n", "sketch", "small", "one", "one.text_key"), "records")
     forget(rows)
     release(docs.sparkSession)
     share = percent / 100
@@ -339,29 +341,37 @@ def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
         more = joined_in_nodes(marked, docs, records, label, size, percent)
         forget(marked, label)
         label = written(components(links.unionByName(more)), "labels")
-    roots = records.select("key", "doc_id").join(label, "key", "left").select("key", "doc_id", F.coalesce("label", "key").alias("root"))
-    first = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = written(roots.join(first, "root").select("key", "component_id"), "components")
+    roots = records.select("key", "one").join(label, "key", "left").select("key", "one", F.coalesce("label", "key").alias("root"))
+    first = roots.groupBy("root").agg(F.min("one").alias("first"))
+    of = written(roots.join(first, "root").select("key", "first"), "components")
     forget(records, label)
     release(docs.sparkSession)
-    named = named.join(of, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return named.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = named.join(of, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")))
+    chosen_ = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    return named.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), chosen_.alias("chosen"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: component_id is the least doc_id reachable."""
-    return labelled(docs, size, percent).drop("text_key")
+    return labelled(docs, size, percent).drop("text_key", "chosen")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs per component, with all columns. Up to BROADCAST_ROWS removed rows are broadcast; beyond, texts move once."""
+    """One row of docs per component, with all columns: the least by doc_id and text, so that rows which share a doc_id but
+    not their text stay apart. Of rows equal in both, one stays; rows without words stay unless they are so repeated. Up
+    to BROADCAST_ROWS removed rows are broadcast; beyond, texts move once."""
     key, own = f"{OWN}key", f"{OWN}id"
-    gone = written(labelled(docs.select("doc_id", "text"), size, percent).filter("not kept").select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct(), "removed")
+    told = labelled(docs.select("doc_id", "text"), size, percent).groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(key)).agg(F.max("chosen").alias("chosen"), F.count(F.lit(1)).alias("often")).filter("not chosen or often > 1")
+    told = written(told, "removed")
     release(docs.sparkSession)
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    here = docs.withColumn(key, text_key())
-    kept = here.join(gone, (here[key] == gone[key]) & (here["doc_id"] == gone[own]), "left_anti").select(*docs.columns)
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+    def meeting(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        if other.count() <= BROADCAST_ROWS:
+            other = F.broadcast(other)
+        return rows.join(other, (rows[key] == other[key]) & rows["doc_id"].eqNullSafe(other[own]), how)
+
+    kept = meeting(docs.withColumn(key, text_key()), told.select(own, key), "left_anti").select(*docs.columns)
+    again = told.filter("chosen").select(own, key)
+    if not again.isEmpty():
+        kept = kept.unionByName(meeting(docs.withColumn(key, text_key()), again, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns))
     return kept
