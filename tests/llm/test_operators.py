@@ -149,6 +149,49 @@ def test_plan(seed):
             assert s[0][0] == 0 and s[-1][1] == n and all(x[1] == y[0] for x, y in zip(s, s[1:]))
 
 
+def sequences(counts, room=2048, **how):
+    return sum(r.count for r in packing.plan(counts, room, **how))
+
+
+def test_plan_against_best_fit():
+    """With small=1 nothing is large, and the plan is best-fit decreasing alone. Configurations do better where lengths are
+    large, and stay within a thousandth of the total length where there are small ones to fill the rest."""
+    assert sequences({840: 90, 640: 90, 568: 90}) == 90 < sequences({840: 90, 640: 90, 568: 90}, small=1)
+    assert sequences({700: 300, 690: 300, 658: 300, 1030: 100, 1018: 100}) <= 405 < sequences({700: 300, 690: 300, 658: 300, 1030: 100, 1018: 100}, small=1)
+    r = np.random.default_rng(5)
+    large = {int(v): int(n) for v, n in zip(*np.unique(np.minimum(513 + r.exponential(400, 200_000), 2047).astype(int), return_counts=True))}
+    runs = packing.plan(large, 2048)
+    assert sum(x.count for x in runs) < sequences(large, small=1) and sum(x.count for x in runs if len(x.lengths) > 1) > 0.8 * sum(x.count for x in runs)
+    some = {int(v): int(n) for v, n in zip(*np.unique(np.minimum(20 + r.exponential(500, 200_000), 2048).astype(int), return_counts=True))}
+    least = -(-sum(v * n for v, n in some.items()) // 2048)
+    assert sequences(some) <= 1.001 * least
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_plan_against_the_optimum(seed):
+    """Of a few documents, against every way to pack them."""
+    r = np.random.default_rng(seed)
+    lengths = sorted(r.integers(3, 60, 9).tolist(), reverse=True)
+
+    def fewest(i, gaps, best):
+        if len(gaps) >= best:
+            return best
+        if i == len(lengths):
+            return len(gaps)
+        for j in {g: j for j, g in enumerate(gaps) if g >= lengths[i]}.values():
+            best = min(best, fewest(i + 1, gaps[:j] + [gaps[j] - lengths[i]] + gaps[j + 1 :], best))
+        return min(best, fewest(i + 1, [*gaps, 64 - lengths[i]], best))
+
+    counts = {v: lengths.count(v) for v in lengths}
+    assert sequences(counts, 64) <= fewest(0, [], len(lengths)) + 1
+
+
+def test_configurations():
+    """The program's optimum where it is known: 60 and 40 fill a room of 100, three of 33 do, and 70 stands alone."""
+    got = packing.configurations([70, 60, 40, 33], [5, 20, 20, 30], 100)
+    assert abs(sum(x for _, x in got) - 35) < 0.01 and all(sum([70, 60, 40, 33][i] for i in c) <= 100 for c, _ in got)
+
+
 def test_media(spark, docs):
     text = dict(docs[1])
     pages = spark.createDataFrame([(d, f'<h1>a</h1><figure><img src="sha256:{hashlib.sha256((t or "").encode()).hexdigest()}"><figcaption>c</figcaption></figure>') for d, t in docs[1]] + [(1, None), (800002, '<p>x<img src="gone.png" alt="b">y')], "id long, html string")

@@ -1,10 +1,10 @@
 """Best-fit packing of documents into sequences by a linear grouping scheme.
 
 Lengths are whole numbers up to the sequence length, so the plan works on their counts and its size depends on the
-sequence length alone. Large lengths are sorted and cut into groups of equal cardinality, each rounded up to its
-longest; a linear program over configurations of these few sizes is solved by column generation and rounded down; then
-actual lengths take their groups' places, and what is left and the small ones go best-fit into the remaining room.
-Documents meet the plan by their rank among those of equal length.
+sequence length alone. Large lengths, those beyond a quarter of it, are sorted and cut into groups of equal cardinality,
+each rounded up to its longest; a linear program over configurations of these few sizes is solved by column generation
+and rounded down, and what it leaves again; then actual lengths take the places of the sizes, and the small ones go
+best-fit into the remaining room. Documents meet the plan by their rank among those of equal length.
 
 Rows: a null text is an empty one and has its end id alone; repeated rows and null doc_ids are packed like others; an
 empty table gives an empty one; only doc_id and text are read.
@@ -40,29 +40,41 @@ class Run:
         return Run(self.lengths[:], [r + n for r in self.ranks], self.count - n)
 
 
-def configurations(sizes: list[int], demand: list[int], room: int, most: int = 600) -> list[tuple[np.ndarray, float]]:
-    """(copies of each size in a sequence, how often): the linear program's solution."""
-    k = len(sizes)
-    need, s = np.array(demand, float), np.array(sizes)
+def best_configuration(sizes: np.ndarray, value: np.ndarray, room: int) -> tuple[float, list[int]]:
+    """The most valuable multiset of sizes that fits, by its number of members: each layer adds one to the one before."""
+    layers, taken = [np.zeros(room + 1)], []
+    while True:
+        below = layers[-1]
+        reach = np.full((len(sizes), room + 1), -1.0)
+        for i, v in enumerate(sizes.tolist()):
+            reach[i, v:] = below[: room + 1 - v] + value[i]
+        who = reach.argmax(0)
+        now = np.maximum(below, reach.max(0))
+        if (now <= below + 1e-12).all():
+            break
+        taken.append(np.where(now > below + 1e-12, who, -1))
+        layers.append(now)
+    column, c = [], room
+    for who in reversed(taken):
+        if who[c] >= 0:
+            column.append(int(who[c]))
+            c -= int(sizes[who[c]])
+    return float(layers[-1][room]), column
+
+
+def configurations(sizes: list[int], demand: list[int], room: int, gap: float = 1e-4) -> list[tuple[list[int], float]]:
+    """((index of each member), how often): the linear program of fewest sequences, by column generation until it is
+    within `gap` of its bound by duality, or until columns no longer lower it."""
+    k, s, need = len(sizes), np.array(sizes), np.array(demand, float)
     basis = np.diag((room // s).astype(float))
     x = need / np.diag(basis)
-    for _ in range(most):
+    still, least = 0, x.sum()
+    while still < 4 * k:
         y = np.linalg.solve(basis.T, np.ones(k))
-        best, take = np.zeros(room + 1), np.full(room + 1, -1)
-        for c in range(int(s.min()), room + 1):
-            ok = s <= c
-            v = np.where(ok, best[np.where(ok, c - s, 0)] + y, -1.0)
-            i = int(v.argmax())
-            best[c], take[c] = (v[i], i) if v[i] > best[c - 1] + 1e-12 else (best[c - 1], -1)
-        if best[room] <= 1 + 1e-7:
+        worth, members = best_configuration(s, y, room)
+        if worth <= 1 + 1e-9 or x.sum() * (1 - 1 / worth) <= gap * x.sum():
             break
-        column, c = np.zeros(k), room
-        while c > 0:
-            if take[c] < 0:
-                c -= 1
-            else:
-                column[take[c]] += 1
-                c -= s[take[c]]
+        column = np.bincount(members, minlength=k).astype(float)
         d = np.linalg.solve(basis, column)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         out = int(ratio.argmin())
@@ -70,90 +82,88 @@ def configurations(sizes: list[int], demand: list[int], room: int, most: int = 6
             break
         x = np.maximum(x - ratio[out] * d, 0)
         x[out], basis[:, out] = ratio[out], column
-    return [(basis[:, i].astype(int), float(x[i])) for i in range(k) if x[i] >= 1]
-
-
-def plan(counts: dict[int, int], room: int, groups: int = 48, small: float = 1 / 8) -> list[Run]:
-    """Runs that hold every length as often as counts says."""
-    used = dict.fromkeys(counts, 0)
-    runs: list[Run] = []
-
-    def place(lengths: list[int], n: int) -> Run:
-        ranks = []
-        for v in lengths:
-            ranks.append(used[v])
-            used[v] += n
-        return Run(lengths, ranks, n)
-
-    if counts.get(room):
-        runs.append(place([room], counts[room]))
-    large = sorted((v for v in counts if small * room < v < room), reverse=True)
-    total = sum(counts[v] for v in large)
-    rest = {v: n for v, n in counts.items() if v < room}
-    if total:
-        per = -(-total // min(groups, total))
-        members: list[list[list[int]]] = [[]]  # per group: [length, how many], longest first
-        held = 0
-        for v in large:
-            n = counts[v]
-            while n:
-                if held == per:
-                    members.append([])
-                    held = 0
-                m = min(n, per - held)
-                members[-1].append([v, m])
-                held += m
-                n -= m
-        by_size: dict[int, list[list[int]]] = {}  # groups that round up alike are one size
-        for g in members:
-            by_size.setdefault(g[0][0], []).extend(g)
-        sizes = list(by_size)
-        queue = {v: [x[:] for x in by_size[v]] for v in sizes}
-        for column, often in configurations(sizes, [sum(n for _, n in by_size[v]) for v in sizes], room):
-            times = min([int(often), *(sum(n for _, n in queue[v]) // int(c) for v, c in zip(sizes, column) if c)])
-            slots = [v for v, c in zip(sizes, column) for _ in range(int(c))]
-            if times <= 0 or not slots:
-                continue
-            parts: list[list[list[int]]] = []  # each slot gets the next `times` documents of its size
-            for v in slots:
-                got, left = [], times
-                while left:
-                    m = min(left, queue[v][0][1])
-                    got.append([queue[v][0][0], m])
-                    left -= m
-                    queue[v][0][1] -= m
-                    if not queue[v][0][1]:
-                        queue[v].pop(0)
-                parts.append(got)
-            done = 0
-            while done < times:
-                n = min(p[0][1] for p in parts)
-                lengths = [p[0][0] for p in parts]
-                ranks = []
-                for v in lengths:
-                    ranks.append(used[v])
-                    used[v] += n
-                runs.append(Run(lengths, ranks, n))
-                for v in lengths:
-                    rest[v] -= n
-                for p in parts:
-                    p[0][1] -= n
-                    if not p[0][1]:
-                        p.pop(0)
-                done += n
+        still, least = (0, x.sum()) if x.sum() < least * (1 - 1e-9) else (still + 1, least)
+    return [(np.repeat(np.arange(k), basis[:, i].astype(int)).tolist(), float(x[i])) for i in range(k) if x[i] > 0]
+
+
+def grouped(lengths: list[int], left: dict[int, int], groups: int) -> tuple[list[int], list[int]]:
+    """(sizes, how many of each): lengths, longest first, in groups of equal cardinality, each rounded up to its longest.
+    Groups that round up alike are one size."""
+    per = -(-sum(left[v] for v in lengths) // groups)
+    sizes: dict[int, int] = {}
+    now, held = 0, 0
+    for v in lengths:
+        n = left[v]
+        while n:
+            if held % per == 0:
+                now = v
+            m = min(n, per - held % per)
+            sizes[now] = sizes.get(now, 0) + m
+            held += m
+            n -= m
+    return list(sizes), list(sizes.values())
+
+
+def plan(counts: dict[int, int], room: int, groups: int = 128, small: float = 1 / 4) -> list[Run]:
+    """Runs that hold every length as often as counts says. Lengths up to `small` of the room are small, so that a
+    configuration holds up to three large ones.
+
+    Solutions are rounded down, and what they leave is grouped and solved again while whole configurations come out.
+    Actual lengths take the places of sizes: the longest left that the size allows, and in a configuration's last place
+    the longest that the room allows, as the lengths before are shorter than their sizes. A longer one that moves up
+    leaves its own place to a shorter one, so every configuration can still be filled. The rest goes best-fit."""
+    used, left = dict.fromkeys(counts, 0), {v: n for v, n in counts.items() if n}
+    waiting = sorted(left)
     gaps: dict[int, list[Run]] = {}
     keys: list[int] = []
 
+    def take(v: int, n: int) -> int:
+        """Takes n of a length; the rank of the first."""
+        rank = used[v]
+        used[v] += n
+        left[v] -= n
+        if not left[v]:
+            waiting.pop(bisect.bisect_left(waiting, v))
+        return rank
+
     def offer(r: Run) -> None:
         g = room - sum(r.lengths)
-        if g not in gaps or not gaps[g]:
+        if not gaps.get(g):
             bisect.insort(keys, g)
         gaps.setdefault(g, []).append(r)
 
-    for r in runs:
-        offer(r)
-    for v in sorted((v for v, n in rest.items() if n > 0), reverse=True):
-        n = rest[v]
+    def filled(slots: list[int], times: int) -> None:
+        """Opens `times` sequences with actual lengths in place of the slots' sizes."""
+        while times:
+            lengths: list[int] = []
+            for j, size in enumerate(slots):
+                bound = room - sum(lengths) if j == len(slots) - 1 else size
+                i = bisect.bisect_right(waiting, bound) - 1
+                while i >= 0 and left[waiting[i]] <= lengths.count(waiting[i]):
+                    i -= 1
+                if i >= 0:
+                    lengths.append(waiting[i])
+            if not lengths:
+                return
+            n = min([times, *(left[v] // lengths.count(v) for v in set(lengths))])
+            offer(Run(lengths, [take(v, n) for v in lengths], n))
+            times -= n
+
+    filled([room], left.get(room, 0))
+    while True:
+        big = [v for v in reversed(waiting) if v > small * room]
+        total = sum(left[v] for v in big)
+        k = min(groups, total)
+        if k < 2:
+            break
+        sizes, demand = grouped(big, left, k)
+        whole = [(c, int(x + 1e-6)) for c, x in configurations(sizes, demand, room) if x >= 1 - 1e-6]
+        if not whole:
+            break
+        for column, times in sorted(whole, key=lambda w: -sum(sizes[i] for i in w[0])):
+            filled(sorted((sizes[i] for i in column), reverse=True), times)
+    for v in waiting[::-1]:
+        n = left[v]
         while n:
             i = bisect.bisect_left(keys, v)
             g = keys[i] if i < len(keys) else room
@@ -178,11 +188,6 @@ def plan(counts: dict[int, int], room: int, groups: int = 48, small: float = 1 /
     return [r for rs in gaps.values() for r in rs if r.count]
 
 
-def best_plan(counts: dict[int, int], room: int, shares: tuple = (1 / 4, 2 / 5, 1 / 2)) -> list[Run]:
-    """The plan of fewest sequences among several bounds, as a share of the room, above which a length is large."""
-    return min((plan(counts, room, small=s) for s in shares), key=lambda runs: sum(r.count for r in runs))
-
-
 def pieces(docs: DataFrame, vocabulary: str, room: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents of more than `room` ids are cut, the first piece shorter."""
     ship(docs.sparkSession)
@@ -227,7 +232,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, room: int = 2048) -> Da
     parts = written(pieces(docs, vocabulary or default_vocabulary(), room), "pieces")
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `room` rows
     table, at = [], 0
-    for r in best_plan(counts, room):
+    for r in plan(counts, room):
         offset = 0
         for v, rank in zip(r.lengths, r.ranks):
             table.append((v, rank, at, offset))
