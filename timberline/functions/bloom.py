@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..model import free_name
+
 MASK = 0xFFFFFFFF
 
 
@@ -32,8 +34,17 @@ def bloom_bitmap(bits_df: DataFrame) -> DataFrame:
     return bits_df.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit + 1))").alias("bitmap"))
 
 
+def bloom_unpack(bitmap_df: DataFrame) -> DataFrame:
+    """The set bits, one row each, of the packed form."""
+    octet = lambda i: F.conv(F.hex(F.substring(F.col("bitmap"), i + 1, 1)), 16, 10).cast("int")
+    bits = bitmap_df.select("bucket", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("bitmap") - 1), octet)).alias("at", "byte")).filter("byte <> 0")
+    each = bits.select("bucket", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")).filter("getbit(byte, i) = 1")
+    return each.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("i")).alias("bit"))
+
+
 def bloom_probe(probes: DataFrame, h: str, bits_df: DataFrame, bits: int, k: int) -> DataFrame:
     """Adds may_contain: whether all positions of the row's hash are set. Rows are told apart by their hash."""
-    asked = probes.select(F.col(h).alias("_h")).distinct().select("_h", F.explode(F.array_distinct(bloom_positions(F.col("_h"), bits, k))).alias("bit"))
-    hit = asked.join(bits_df.withColumn("_set", F.lit(1)), "bit", "left").groupBy("_h").agg((F.count("_set") == F.count(F.lit(1))).alias("may_contain"))
-    return probes.join(hit, probes[h] == hit["_h"], "left").drop("_h").withColumn("may_contain", F.coalesce("may_contain", F.lit(False)))
+    own = free_name("hash", probes.columns)
+    asked = probes.select(F.col(h).alias(own)).distinct().select(own, F.explode(F.array_distinct(bloom_positions(F.col(own), bits, k))).alias("bit"))
+    hit = asked.join(bits_df.select("bit", F.lit(1).alias("set")), "bit", "left").groupBy(own).agg((F.count("set") == F.count(F.lit(1))).alias("found"))
+    return probes.join(hit, probes[h] == hit[own], "left").select(*(probes[c] for c in probes.columns if c != "may_contain"), F.coalesce("found", F.lit(False)).alias("may_contain"))

@@ -30,4 +30,5 @@ def be64_encode(number: Column) -> Column:
 
 
 def be64_decode(data: Column) -> Column:
-    return F.conv(F.hex(data), 16, 10).cast("long")
+    """A signed number, so that it inverts be64_encode for every BIGINT: bytes from 2^63 on are negative."""
+    return F.conv(F.hex(data), 16, -10).cast("long")

@@ -18,6 +18,13 @@ class Bound:
     inclusive: bool = True
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name with as many leading underscores as no given column has."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def included(key: object) -> Bound:
     return Bound(key, True)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..model import Bound, as_lit, in_range, is_tombstone
+from ..model import Bound, as_lit, free_name, in_range, is_tombstone
 
 
 def top_one(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """First row per key. Catalyst puts a WindowGroupLimit below the exchange, so a hot key sends one row per task."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    rank = free_name("rank", df.columns)
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) == 1).drop(rank)
 
 
 def snapshot(versions: DataFrame, read_ts: int | None = None, lower: Bound | None = None, upper: Bound | None = None, keep_ts: bool = False) -> DataFrame:
@@ -53,14 +54,13 @@ def asof_join(probes: DataFrame, versions: DataFrame, slice_width: int) -> DataF
     So a hot key is spread over as many tasks as it has slices, and no probe meets more than its own slice."""
     cut = lambda c: F.floor(F.col(c) / F.lit(slice_width)).cast("long")
     v = versions.select("key", F.col("ts").alias("at"), cut("ts").alias("slice"), F.struct("ts", "value").alias("ver"))
-    p = probes.select("*", cut("probe_ts").alias("slice"))
+    p = probes.select("key", cut("probe_ts").alias("slice"), F.col("probe_ts").alias("at"), F.struct(*(c for c in probes.columns if c != "key")).alias("row"))
     ends = v.groupBy("key", "slice").agg(F.max_by("ver", "at").alias("ver"))
     stops = ends.select("key", "slice", "ver").unionByName(p.select("key", "slice").distinct().withColumn("ver", F.lit(None).cast(ends.schema["ver"].dataType))).groupBy("key", "slice").agg(F.first("ver", ignorenulls=True).alias("ver"))
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = stops.withColumn("ver", F.last("ver", ignorenulls=True).over(before)).filter("ver is not null").select("key", "slice", F.lit(None).cast("long").alias("at"), "ver")
-    extra = [c for c in p.columns if c not in ("key", "slice")]
-    left = v.unionByName(carried).withColumns({"_probe": F.lit(0), "_row": F.lit(None).cast(p.select(F.struct(*extra)).schema[0].dataType)})
-    right = p.select("key", "slice", F.col("probe_ts").alias("at"), F.lit(None).cast(v.schema["ver"].dataType).alias("ver"), F.lit(1).alias("_probe"), F.struct(*extra).alias("_row"))
-    order = Window.partitionBy("key", "slice").orderBy(F.asc_nulls_first("at"), "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    out = left.unionByName(right).withColumn("ver", F.last("ver", ignorenulls=True).over(order)).filter("_probe = 1")
-    return out.select("key", "_row.*", F.when(F.octet_length("ver.value") > 0, F.col("ver.value")).alias("value"))
+    left = v.unionByName(carried).withColumns({"probe": F.lit(0), "row": F.lit(None).cast(p.schema["row"].dataType)})
+    right = p.select("key", "slice", "at", F.lit(None).cast(v.schema["ver"].dataType).alias("ver"), F.lit(1).alias("probe"), "row")
+    order = Window.partitionBy("key", "slice").orderBy(F.asc_nulls_first("at"), "probe").rowsBetween(Window.unboundedPreceding, 0)
+    out = left.unionByName(right).withColumn("ver", F.last("ver", ignorenulls=True).over(order)).filter("probe = 1")
+    return out.select("key", "row.*", F.when(F.octet_length("ver.value") > 0, F.col("ver.value")).alias("value"))

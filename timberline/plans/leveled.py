@@ -88,15 +88,18 @@ def plan_leveled(files: DataFrame, o: Options = Options()) -> Task | None:
 
 
 def plan_full(files: DataFrame) -> Task:
-    """All of levels 0 and 1 into level 1, as the bottom."""
+    """All of levels 0 and 1 into level 1. It is the bottom, where tombstones go, only if no level below has files: those
+    may hold older versions."""
     ids = lambda n: [r.file_id for r in files.filter(F.col("level") == n).select("file_id").orderBy("file_id").toLocalIterator()]
-    return Task(0, ids(0), 1, ids(1), True)
+    return Task(0, ids(0), 1, ids(1), files.filter("level > 1").isEmpty())
 
 
 def apply_task(files: DataFrame, task: Task, outputs: DataFrame) -> DataFrame:
-    """The inputs leave both levels, the outputs join the lower one. Files that came meanwhile stay."""
+    """The inputs leave both levels, the outputs join the lower one. Files that came meanwhile stay. Level 0 is in order of
+    age, newest first, the others of their keys."""
     gone = files.sparkSession.createDataFrame([(i,) for i in [*task.upper, *task.lower]], "file_id long")
-    return live_files(files, gone).unionByName(outputs.withColumn("level", F.lit(task.lower_level)))
+    after = live_files(files, gone).unionByName(outputs.withColumn("level", F.lit(task.lower_level)))
+    return after.orderBy("level", F.when(F.col("level") == 0, -F.col("file_id")), "first_key")
 
 
 def split_ranges(spark: SparkSession, begin: int, end: int, n: int) -> DataFrame:
@@ -109,3 +112,8 @@ def amplification(history: DataFrame) -> DataFrame:
     """history (step, flushes, writes, files, l0_files, levels_used): write, space and read amplification at the end."""
     last = F.max_by(F.struct("l0_files", "levels_used"), "step")
     return history.agg((F.sum("writes") / F.sum("flushes")).alias("write_amp"), (F.max("files") / F.sum("flushes")).alias("space_amp"), (last["l0_files"] + last["levels_used"]).alias("read_amp"))
+
+
+def read_amplification(met: DataFrame) -> DataFrame:
+    """(iterators): sorted runs that a read of these files merges, each file of level 0 and each level below."""
+    return met.agg((F.count_if(F.col("level") == 0) + F.count_distinct(F.when(F.col("level") > 0, F.col("level")))).alias("iterators"))

@@ -12,6 +12,6 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, name: str = "ingest
     """stream (key, seq, value). The batch id is the commit's tag, so a replayed batch finds its earlier commit."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.commit_rows(batch.select("key", "seq", "value"), tag=f"{name}-{batch_id}")
+        store.commit_rows(batch.select("key", "seq", "value"), tag=(name, batch_id))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
