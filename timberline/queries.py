@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import operators as ops, plans
-from .functions import bloom_build, bloom_positions, bloom_probe, bloom_shape, common_prefix_length
+from .functions import bloom_bitmap, bloom_build, bloom_probe, bloom_shape, bloom_unpack, common_prefix_length
 from .model import excluded, has_prefix, included
 from .operators.snapshot import top_one
 from .plans.leveled import Options, level_targets
@@ -117,6 +117,12 @@ def _(spark, d):
     return ops.point_get(log(spark, d), "000007")
 
 
+@query("point_get_asof", snap_sql("key = '000007' and ts <= (select max(ts) // 2 from v_log)"))
+def _(spark, d):
+    v = log(spark, d)
+    return ops.point_get(v, "000007", clock(v) // 2)
+
+
 @query("multi_get", f"with {LOG} select k.key, s.value from (select lpad(cast(c_custkey as varchar), 6, '0') as key from customer) k left join (select key, value from (select *, {TOP} as rn from v_log) where rn = 1 and value <> '') s on k.key = s.key")
 def _(spark, d):
     return ops.multi_get(log(spark, d), table(spark, d, "customer").select(key_of("c_custkey").alias("key")))
@@ -138,16 +144,23 @@ def _(spark, d):
     return ops.merge_kway(runs(spark, d)).select("key", "value")
 
 
-@query("merge_two", f"with {RUNS} select key, value from v_runs where run_id = 1 union all select key, value from v_runs where run_id = 0 and key not in (select key from v_runs where run_id = 1)")
+HALVES = f"{RUNS}, cut as (select max(run_id) // 2 as run_id from v_runs), a as (select key, value from (select *, row_number() over (partition by key order by run_id) as rn from v_runs where run_id <= (select run_id from cut)) where rn = 1), b as (select key, value from (select *, row_number() over (partition by key order by run_id) as rn from v_runs where run_id > (select run_id from cut)) where rn = 1)"
+
+
+@query("merge_two", f"with {HALVES} select key, value from a union all select key, value from b where key not in (select key from a)")
 def _(spark, d):
+    """The earlier half of the runs over the later one, each merged before."""
     r = runs(spark, d)
-    return ops.merge_two(r.filter("run_id = 1").drop("run_id"), r.filter("run_id = 0").drop("run_id"))
+    half = r.agg(F.expr("max(run_id) div 2")).first()[0] or 0
+    side = lambda test: ops.merge_kway(r.filter(test)).select("key", "value")
+    return ops.merge_two(side(F.col("run_id") <= half), side(F.col("run_id") > half))
 
 
-@query("concat_runs", f"with {LOG} select key, value from (select *, {TOP} as rn from v_log) where rn = 1 and value <> '' and (key < '000030' or key >= '000100')")
+@query("concat_runs", snap_sql("true"))
 def _(spark, d):
+    """Three runs of adjacent ranges that hold all keys."""
     v = log(spark, d)
-    return ops.concat_runs([ops.snapshot(v, None, None, excluded("000030")), ops.snapshot(v, None, included("000100"))])
+    return ops.concat_runs([ops.snapshot(v, None, None, excluded("000030")), ops.snapshot(v, None, included("000030"), excluded("000100")), ops.snapshot(v, None, included("000100"))])
 
 
 @query("txn_overlay", f"with {LOG}, n as (select max(ts) * 9 // 10 as cut from v_log), loc as (select key, value from (select *, {TOP} as rn from v_log where ts > (select cut from n)) where rn = 1), base as (select key, value from (select *, {TOP} as rn from v_log where ts <= (select cut from n)) where rn = 1 and value <> '') select key, value from loc where value <> '' union all select key, value from base where key not in (select key from loc)")
@@ -222,10 +235,10 @@ def _(spark, d):
     return plans.level_sizes(files(spark, d), 4)
 
 
-@query("file_overlap", f"with {files_sql('o_orderkey')}, c as (select min(first_key) as b, max(last_key) as e from v_files where level = 1 and file_id < 12) select f.file_id, f.level, f.size, f.first_key, f.last_key from v_files f, c where f.level = 2 and f.last_key >= c.b and f.first_key <= c.e")
+@query("file_overlap", f"with {files_sql('o_orderkey')}, c as (select min(first_key) as b, max(last_key) as e from v_files where level = 1) select f.file_id, f.level, f.size, f.first_key, f.last_key from v_files f, c where f.level <> 1 and f.last_key >= c.b and f.first_key <= c.e")
 def _(spark, d):
     f = files(spark, d, "o_orderkey")
-    return plans.file_overlap(f.filter("level = 1 and file_id < 12"), f.filter("level = 2"))
+    return plans.file_overlap(f.filter("level = 1"), f.filter("level <> 1"))
 
 
 @query("live_files", f"with {files_sql()} select * from v_files where file_id not in (select file_id from v_files where level = 0)")
@@ -244,22 +257,32 @@ def _(spark, d):
     return plans.pruned_files(files(spark, d, "o_orderkey"), excluded("000001000"), included("000003000"))
 
 
-OPT = Options(trigger=100, multiplier=2, max_levels=4, base_bytes=50_000)
+OPT = Options(trigger=10**9, multiplier=2, max_levels=3, base_bytes=5_000)
+TARGETS = "s as (select coalesce(sum(size) filter (level = 1), 0) as r1, coalesce(sum(size) filter (level = 2), 0) as r2, coalesce(sum(size) filter (level = 3), 0) as r3 from v_files), t3 as (select *, greatest(r3, 5000) as t3 from s), t2 as (select *, case when t3 > 5000 then t3 // 2 else 0 end as t2 from t3), t as (select *, case when t2 > 5000 then t2 // 2 else 0 end as t1 from t2)"
 
 
-@query("level_targets", f"with {files_sql()}, s as (select coalesce(sum(size) filter (level = 1), 0) as r1, coalesce(sum(size) filter (level = 2), 0) as r2, coalesce(sum(size) filter (level = 3), 0) as r3, cast(0 as bigint) as r4 from v_files), t as (select 50000 as t4, 0 as t3, 0 as t2, 0 as t1) select cast(level as integer) as level, cast(target as bigint) as target, cast(4 as integer) as base_level from (select unnest([1, 2, 3, 4]) as level, unnest([t1, t2, t3, t4]) as target from t, s)")
+@query("level_targets", f"with {files_sql()}, {TARGETS} select cast(level as integer) as level, cast(target as bigint) as target, cast(case when t1 > 0 then 1 when t2 > 0 then 2 else 3 end as integer) as base_level from (select unnest([1, 2, 3]) as level, unnest([t1, t2, t3]) as target, t1, t2 from t)")
 def _(spark, d):
-    sizes = {r.level: r.size for r in plans.level_sizes(files(spark, d), 4).collect()}
-    target, base = level_targets([sizes[i] for i in range(1, 5)], OPT)
+    sizes = {r.level: r.size for r in plans.level_sizes(files(spark, d), 3).collect()}
+    target, base = level_targets([sizes[i] for i in range(1, 4)], OPT)
     return spark.createDataFrame([(i + 1, t, base) for i, t in enumerate(target)], "level int, target long, base_level int")
 
 
-@query("compaction_task", f"with {files_sql('o_orderkey')}, up as (select min(file_id) as file_id from v_files where level = 2), low as (select f.file_id from v_files f, v_files u, up where u.file_id = up.file_id and f.level = 3 and f.last_key >= u.first_key and f.first_key <= u.last_key) select file_id, 'upper' as side from up union all select file_id, 'lower' as side from low")
+def task_rows(spark: SparkSession, task) -> DataFrame:
+    rows = [(i, "upper", task.bottom) for i in task.upper] + [(i, "lower", task.bottom) for i in task.lower] if task else []
+    return spark.createDataFrame(rows, "file_id long, side string, bottom boolean")
+
+
+@query("compaction_task", f"with {files_sql('o_orderkey')}, {TARGETS}, over as (select unnest([1, 2]) as level, unnest([case when t1 > 0 then r1 / t1 else 0 end, case when t2 > 0 then r2 / t2 else 0 end]) as ratio from t), pick as (select level from over where ratio > 1 order by ratio desc, level desc limit 1), up as (select min(file_id) as file_id from v_files where level = (select level from pick)), low as (select f.file_id from v_files f, v_files u, up, pick where u.file_id = up.file_id and f.level = pick.level + 1 and f.last_key >= u.first_key and f.first_key <= u.last_key), bt as (select level + 1 = 3 as bottom from pick) select file_id, 'upper' as side, bottom from up, bt where file_id is not null union all select file_id, 'lower' as side, bottom from low, bt")
 def _(spark, d):
-    """Level 2 is made the only one over its target, so its oldest file meets what it overlaps in level 3."""
-    f = files(spark, d, "o_orderkey")
-    task = plans.plan_leveled(f.withColumn("size", F.when(F.col("level") == 2, F.col("size") * 1000).when(F.col("level") == 0, F.lit(0)).otherwise(F.lit(1))), Options(10**9, 2, 3, 1))
-    return spark.createDataFrame([(i, "upper") for i in task.upper] + [(i, "lower") for i in task.lower], "file_id long, side string")
+    """No level has a trigger here: the level most over its target gives its oldest file."""
+    return task_rows(spark, plans.plan_leveled(files(spark, d, "o_orderkey"), OPT))
+
+
+@query("compaction_task_l0", f"with {files_sql('o_custkey')}, {TARGETS}, base as (select case when t1 > 0 then 1 when t2 > 0 then 2 else 3 end as level from t), span as (select min(first_key) as b, max(last_key) as e from v_files where level = 0) select file_id, 'upper' as side, base.level = 3 as bottom from v_files, base where v_files.level = 0 union all select file_id, 'lower' as side, base.level = 3 as bottom from v_files, base, span where v_files.level = base.level and last_key >= b and first_key <= e")
+def _(spark, d):
+    """Level 0 has as many files as its trigger: all of it goes to the base level."""
+    return task_rows(spark, plans.plan_leveled(files(spark, d, "o_custkey"), Options(2, 2, 3, 5_000)))
 
 
 @query("split_ranges", "select i, 10 + (991 * i) // 7 as lo, 10 + (991 * (i + 1)) // 7 - 1 as hi from range(7) t(i)")
@@ -278,24 +301,35 @@ def _(spark, d):
     return ops.freeze_segments(e, "stream", "event_id", 500).select("stream", "event_id", "segment")
 
 
-BITS, K = bloom_shape(150)
+K = bloom_shape(1)[1]
 H = "(user_id * 2654435761) % 4294967296"
-POS = f"select distinct h, cast((h + i * (((h >> 17) | (h << 15)) & 4294967295)) & 4294967295 as bigint) % {BITS} as bit from v_hash, range({K}) t(i)"
+HASHED = f"v_hash as (select distinct user_id, cast({H} as bigint) as h from events), shape as (select (greatest(count(*) * 10, 64) + 7) // 8 * 8 as bits from v_hash)"
+POS = f"select distinct h, cast((h + i * (((h >> 17) | (h << 15)) & 4294967295)) & 4294967295 as bigint) % bits as bit from v_hash, shape, range({K}) t(i)"
 
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id").distinct().withColumn("h", (F.col("user_id") * 2654435761) % 4294967296)
 
 
-@query("bloom_bits", f"with v_hash as (select distinct user_id, cast({H} as bigint) as h from events), p as ({POS}) select distinct bit from p")
+@query("bloom_bits", f"with {HASHED}, p as ({POS}) select distinct bit from p")
 def _(spark, d):
-    return bloom_build(hashes(spark, d), "h", BITS, K)
+    h = hashes(spark, d)
+    return bloom_build(h, "h", *bloom_shape(h.count()))
 
 
-@query("bloom_probe", f"with v_hash as (select distinct user_id, cast({H} as bigint) as h from events), b as (select distinct bit from ({POS})), q as (select c_custkey as user_id, cast((c_custkey * 2654435761) % 4294967296 as bigint) as h from customer), x as (select user_id, h, bit from (select q.user_id, q.h, cast((h + i * (((h >> 17) | (h << 15)) & 4294967295)) & 4294967295 as bigint) % {BITS} as bit from q, range({K}) t(i))) select user_id, h, count(*) = count(b.bit) as may_contain from x left join b on x.bit = b.bit group by 1, 2")
+@query("bloom_round_trip", f"with {HASHED}, p as ({POS}) select distinct bit from p")
 def _(spark, d):
+    """The set bits after packing into bitmaps and back."""
+    h = hashes(spark, d)
+    return bloom_unpack(bloom_bitmap(bloom_build(h, "h", *bloom_shape(h.count()))))
+
+
+@query("bloom_probe", f"with {HASHED}, b as (select distinct bit from ({POS})), q as (select c_custkey as user_id, cast((c_custkey * 2654435761) % 4294967296 as bigint) as h from customer), x as (select user_id, h, bit from (select q.user_id, q.h, cast((h + i * (((h >> 17) | (h << 15)) & 4294967295)) & 4294967295 as bigint) % bits as bit from q, shape, range({K}) t(i))) select user_id, h, count(*) = count(b.bit) as may_contain from x left join b on x.bit = b.bit group by 1, 2")
+def _(spark, d):
+    h = hashes(spark, d)
+    shape = bloom_shape(h.count())
     q = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).withColumn("h", (F.col("user_id") * 2654435761) % 4294967296)
-    return bloom_probe(q, "h", bloom_build(hashes(spark, d), "h", BITS, K), BITS, K)
+    return bloom_probe(q, "h", bloom_build(h, "h", *shape), *shape)
 
 
 @query("common_prefix", "with p as (select p_partkey, p_name as b, lag(p_name) over (order by p_partkey) as a from part), x as (select p_partkey, a, b, (select coalesce(max(i), 0) from range(1, 40) t(i) where i <= least(length(a), length(b)) and left(a, i) = left(b, i)) as prefix from p where a is not null) select p_partkey, cast(prefix as integer) as prefix from x")
@@ -322,6 +356,13 @@ def _(spark, d):
     return plans.amplification(h)
 
 
-@query("simulator", None)
+@query("read_amplification", f"with {files_sql()}, met as (select * from v_files where last_key >= '000000200' and first_key <= '000000900') select count(*) filter (level = 0) + count(distinct level) filter (level > 0) as iterators from met")
+def _(spark, d):
+    return plans.read_amplification(plans.pruned_files(files(spark, d), included("000000200"), included("000000900")))
+
+
+@query("simulator", "select cast(i as integer) as step, true as disjoint, true as settled from range(50) t(i)")
 def _(spark, d):
-    return plans.amplification(spark.createDataFrame(simulate(), "step int, flushes int, writes int, files int, l0_files int, levels_used int, disjoint boolean"))
+    """Of every step, whether levels from 1 on are disjoint and level 0 is below its trigger."""
+    rows = spark.createDataFrame(simulate(), "step int, flushes int, writes int, files int, l0_files int, levels_used int, disjoint boolean")
+    return rows.select("step", "disjoint", (F.col("l0_files") < 2).alias("settled"))
