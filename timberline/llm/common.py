@@ -3,31 +3,17 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-WRITTEN: dict[int, str] = {}
+from ..scratch import drop, forget, located, scratch, shared_dir, written  # noqa: F401
+
 #: Before the names of columns that are added to rows with columns of any other name.
 OWN = "__timberline_"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none, as on one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="timberline-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/timberline-{name}-{uuid.uuid4().hex}"
-
-
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors by the shared folder, once per application: their Python workers import it. Batches between Spark
     and Python are kept small, as rows hold whole texts."""
@@ -39,44 +25,14 @@ def ship(spark: SparkSession) -> None:
         with zipfile.ZipFile(packed, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
-        at = context._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark, 'code')}/timberline.zip")
-        out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at)
+        fs, at = located(spark, f"{scratch(spark, 'code')}/timberline.zip")
+        out = fs.create(at)
         out.write(bytearray(packed.getvalue()))
         out.close()
         context.addPyFile(at.toString())
         context._timberline = context.applicationId
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    WRITTEN[id(out)] = path
-    return out
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Removes folders that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Removes written tables that no later step reads."""
-    for t in tables:
-        if path := WRITTEN.pop(id(t), None):
-            drop(t.sparkSession, path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps: its cleaner sees that they are done when the driver collects garbage, and a
-    driver with little to do may not for half an hour."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

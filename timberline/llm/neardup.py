@@ -7,8 +7,10 @@ exhaustively by sketch. Candidates are confirmed on the full shingle sets.
 Only links that join components are needed: each record first keeps its best earlier partner alone, so there is at most
 one candidate per record. After these are confirmed, a second comparison marks the records of each node that have a
 candidate in another component; their full sets meet in the node, are compared exactly, and links that join components
-come out. Pairs never leave a task. Nodes that stay large at the last level are compared in pairs of blocks, so none is gathered
-in one task. Components come from alternating large-star and small-star steps on the cluster.
+come out. Pairs never leave a task. Nodes that stay large at the last level are cut into blocks that share a few pivots:
+a cluster of any number of near copies is joined by these, with as many rows as records. For the second comparison only
+records with different labels need to meet there; where they are few, they are put before each block of the largest
+label, and where they are many, the node branches on. Components come from alternating large-star and small-star steps on the cluster.
 
 Of a pair at the similarity bound s, a selected position keeps it together with probability s. A root selects two
 positions, any other node 1 / s of them on average (one, and by its hash a second), so that a pair's expected number of
@@ -25,14 +27,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import OWN, forget, lower_ascii, release, ship, text_of, written
+from ..operators.graph import components
+from .common import OWN, forget, lower_ascii, ship, text_of, written
 
 TREES, BRANCH, DEPTH, LEAF, BLOCK = 6, 2, 4, 1000, 500
+PIVOTS, LEVELS, SHINGLES = 16, 32, 4_000_000
 BROADCAST_ROWS = 500_000
 PERMUTATIONS = 128
 SPACE = r"[\x20\x09-\x0D]+"
@@ -110,11 +115,11 @@ def branched(rows: DataFrame, level: int, share: float) -> DataFrame:
     return rows.select(F.explode(F.array_distinct(F.array_compact(kids))).alias("node"), "key", "sketch")
 
 
-def leaves(records: DataFrame, share: float) -> DataFrame:
-    """(node, key), written: each record once per small node that it falls into; nodes of one record are left out.
-    Large nodes branch again; at the last level they become nodes of two blocks each."""
+def leaves(records: DataFrame, share: float) -> tuple[DataFrame, DataFrame | None]:
+    """(node, key), written: each record once per small node that it falls into; nodes of one record are left out. Large
+    nodes branch again; at the last level they are cut into blocks, and given as a second table (node, key)."""
     roots = records.select(F.explode(F.array(*[F.lit(t).cast("long") for t in range(TREES)])).alias("node"), "key", "sketch")
-    grown, done, made = branched(roots, 0, share).select("node", "key"), None, []
+    grown, done, made, hot = branched(roots, 0, share).select("node", "key"), None, [], None
     sketches = records.select("key", "sketch")
     for level in range(1, DEPTH + 1):
         here = written(grown, f"level-{level}")
@@ -129,15 +134,50 @@ def leaves(records: DataFrame, share: float) -> DataFrame:
         if level < DEPTH:
             grown = branched(rest.join(sketches, "key"), level, share).select("node", "key")
     else:
-        done = done.unionByName(in_blocks(rest))
+        hot = written(rest, "hot")
+        done = done.unionByName(with_pivots(hot))
     out = written(done, "nodes")
     forget(*made)
-    return out
+    return out, hot
+
+
+def with_pivots(rest: DataFrame) -> DataFrame:
+    """(node, key) of large nodes (node, key, _n), as blocks of about BLOCK records and the same few PIVOTS in each: records
+    of one large cluster meet its pivots, whatever block they are in. As many rows as records, and a few more."""
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    own = rest.select(F.xxhash64("node", F.pmod(F.xxhash64("key"), blocks)).alias("node"), "key")
+    first = rest.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key"), "key"))).filter(F.col("_r") <= PIVOTS)
+    spread = first.select("node", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b")).select(F.xxhash64("node", F.col("b")).alias("node"), "key")
+    return own.unionByName(spread).distinct()
+
+
+def unjoined(hot: DataFrame, label: DataFrame, sketches: DataFrame, share: float) -> DataFrame:
+    """(node, key): of large nodes what the first comparison has left, so that records with different labels meet. A node of
+    one label is done. Where all but LEAF records have one label, blocks of these meet all others; where more have others,
+    the node branches on, as its records are no longer alike."""
+    now, out = hot.select("node", "key"), []
+    for level in range(DEPTH, LEVELS):
+        told = written(now.join(label, "key", "left").select("node", "key", F.coalesce("label", "key").alias("label")), "told")
+        per = told.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.max_by("label", "c").alias("main")).filter("most < n")
+        rows = told.join(per, "node")
+        small, rest = F.col("n") <= LEAF, F.col("n") - F.col("most") <= LEAF
+        blocks = F.ceil(F.col("most") / BLOCK).cast("int")
+        where = F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("key"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+        meet = rows.filter(~small & rest).select("node", "key", F.explode(where).alias("b")).select(F.xxhash64("node", F.lit(level), F.col("b")).alias("node"), "key")
+        out.append(written(rows.filter(small).select(F.xxhash64("node", F.lit(level), F.lit(-1)).alias("node"), "key").unionByName(meet), "meeting"))
+        large = written(rows.filter(~small & ~rest).select("node", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("_m")), "large")
+        forget(told)
+        if large.isEmpty():
+            break
+        now = branched(large.join(sketches, "key"), level, share).select("node", "key")
+    else:  # thousands of equal sketches of different labels: pairs of blocks lose none of them
+        out.append(written(in_blocks(large), "meeting"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def in_blocks(rest: DataFrame) -> DataFrame:
-    """(node, key) of large nodes (node, key, _n), as nodes of two blocks each."""
-    blocks = rest.withColumn("_m", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("key"), F.col("_m")).cast("int"))
+    """(node, key) of nodes (node, key, _m), as nodes of two of their _m blocks each."""
+    blocks = rest.withColumn("_b", F.pmod(F.xxhash64("key"), F.col("_m")).cast("int"))
     pairs = blocks.select("key", "node", "_b", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"))
     split = pairs.select(F.xxhash64("node", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("node"), "key")
     return split.distinct()
@@ -245,12 +285,16 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def joined_in_nodes(marked: DataFrame, docs: DataFrame, records: DataFrame, label: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that join different labels; marked (node, a): the records to compare in each node, LEAF at most or
-    those of two blocks."""
+    """Links (a, b) that join different labels; marked (node, a): the records to compare in each node. A node whose sets
+    come to more than SHINGLES values is compared as pairs of smaller blocks, so a task holds few long texts."""
     ship(docs.sparkSession)
-    needed = written(records.join(marked.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select("key", "text_key"), "needed")
+    sized = written(marked.select("node", F.col("a").alias("key")).join(records.select("key", "n"), "key"), "sized")
+    weights = sized.groupBy("node").agg(F.sum("n").alias("all"))
+    heavy = sized.join(weights.filter(F.col("all") > SHINGLES), "node").select("node", "key", F.ceil(2 * F.col("all") / SHINGLES).cast("int").alias("_m"))
+    meeting = sized.join(weights.filter(F.col("all") <= SHINGLES), "node", "left_semi").select("node", "key").unionByName(in_blocks(heavy))
+    needed = written(records.join(sized.select("key").distinct(), "key", "left_semi").select("key", "text_key"), "needed")
     named = texts_of(docs, needed).join(label, "key", "left").select("key", "text", F.coalesce("label", "key").alias("label"))
-    rows = marked.select("node", F.col("a").alias("key")).join(named, "key").repartition("node")
+    rows = meeting.join(named, "key").repartition("node")
     sets = with_sets(rows, size).select("node", "key", "label", "set").sortWithinPartitions("node", "key")
 
     def links(keys: list, labels: list, found: list[np.ndarray]) -> list[tuple]:
@@ -292,27 +336,6 @@ def joined_in_nodes(marked: DataFrame, docs: DataFrame, records: DataFrame, labe
     return written(sets.mapInArrow(run, "a binary, b binary"), "more-links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(key, label): label is the least key reachable over links (a, b). Large-star and small-star steps alternate until
-    nothing changes; each step moves every edge once, and a hub's neighbours are never gathered: only its least is."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    seen = None
-    for _ in range(60):
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
-        after = written(small, "edges")
-        mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        forget(edges)
-        edges = after
-        if mark == seen:
-            break
-        seen = mark
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("label"))
-
-
 def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept, chosen) of every row; chosen: the least row of its component by
     doc_id and text, with any that repeat it, or a row without words."""
@@ -320,23 +343,21 @@ def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     named = written(rows.select("doc_id", "text_key", "n", "key"), "rows")
     records = written(rows.filter("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("small").alias("small"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("one")).select("key", "n", "sketch", "small", "one", "one.text_key"), "records")
     forget(rows)
-    release(docs.sparkSession)
     share = percent / 100
     least = int(PERMUTATIONS * share - 4.5 * (PERMUTATIONS * share * (1 - share)) ** 0.5)
-    nodes = leaves(records.select("key", "sketch"), share)
-    release(docs.sparkSession)
+    nodes, hot = leaves(records.select("key", "sketch"), share)
     met = written(compared(nodes.join(records.select("key", "n", "small"), "key"), least, share, False), "met")
     forget(nodes)
-    release(docs.sparkSession)
     best = written(met.filter("b is not null").groupBy("a").agg(F.max_by("b", "same").alias("b")), "best")
     links = confirmed(best, docs, records, size, percent)
     forget(best)
-    release(docs.sparkSession)
     label = written(components(links), "labels")
-    told = met.select("node", F.col("a").alias("key")).join(records.select("key", "n", "small"), "key").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    again = met.select("node", F.col("a").alias("key"))
+    if hot is not None:
+        again = again.unionByName(unjoined(hot, label, records.select("key", "sketch"), share))
+    told = again.join(records.select("key", "n", "small"), "key").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     marked = written(compared(told, least, share, True).select("node", "a"), "marked")
-    forget(met)
-    release(docs.sparkSession)
+    forget(met, *([hot] if hot is not None else []))
     if not marked.isEmpty():
         more = joined_in_nodes(marked, docs, records, label, size, percent)
         forget(marked, label)
@@ -345,7 +366,6 @@ def labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     first = roots.groupBy("root").agg(F.min("one").alias("first"))
     of = written(roots.join(first, "root").select("key", "first"), "components")
     forget(records, label)
-    release(docs.sparkSession)
     named = named.join(of, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id")))
     chosen_ = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
     return named.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), chosen_.alias("chosen"))
@@ -363,7 +383,6 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     key, own = f"{OWN}key", f"{OWN}id"
     told = labelled(docs.select("doc_id", "text"), size, percent).groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(key)).agg(F.max("chosen").alias("chosen"), F.count(F.lit(1)).alias("often")).filter("not chosen or often > 1")
     told = written(told, "removed")
-    release(docs.sparkSession)
 
     def meeting(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
         if other.count() <= BROADCAST_ROWS:
