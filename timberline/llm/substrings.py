@@ -1,18 +1,22 @@
-"""Repeated passages by suffix arrays with their tree of common-prefix intervals.
+"""Repeated passages by suffix arrays with their trees of common-prefix intervals.
 
 Removed is each byte covered by a string of `size` bytes that also starts elsewhere. The suffixes of the corpus are
 dealt by content: in every window of that size the k-byte piece of least hash is its anchor, so equal windows have
-equal anchors at equal places, and suffixes are sorted together with those of the same anchor alone. Within an anchor:
-
-- anchors whose whole surroundings (as far as a window can reach) occur twice are repeated all over; only a hash moves;
-- of the others, one occurrence of each distinct surroundings is gathered, and the suffixes from the anchor on are
-  sorted with their common-prefix lengths. A stack scan gives the tree of intervals. In each interval, suffixes sorted
-  by what stands left of the anchor tell how far each member's repeat extends there. Left and right reach together, if
-  they come to `size` bytes, are the repeat at that member. This takes the place of a test of intervals for different
-  bytes on the left; groups of occurrences are not output.
-
-Anchors with more than `most` distinct surroundings are split: each window of the size around them is hashed and
-counted on the cluster, which gives the same bytes without gathering the group.
+equal anchors at equal places, and suffixes are sorted together with those of the same anchor alone. Occurrences of an
+anchor with equal surroundings (as far as a window can reach) are one member with their number; in periodic text such
+neighbours are one row with their distance. Within an anchor:
+
+- a single member that occurs twice is a tree of one leaf, repeated as far as its surroundings go; only its hash moves;
+- otherwise the members' suffixes from the anchor on are sorted with their common-prefix lengths, and a stack scan gives
+  the tree of intervals. In each interval, a second tree over what stands left of its members tests whether their left
+  extensions differ: its nodes, if their members lie in more than one child of the interval, are the maximal repeats, and
+  those of `size` bytes or more are groups. Reach beyond the surroundings is pieced together by the spans of neighbouring
+  anchors.
+
+An anchor with more than `most` members is dealt again before it is sorted: a window begins at most size - k bytes left of
+the anchor, and halving that range gives two longer pieces around the anchor, of which equal windows share one. Pieces
+with few members are sorted like anchors; the range is halved until it is one place, where the piece is the window, and
+all its members are a group. Nothing is left out at any `most`, which only bounds what one task sorts.
 
 Rows: texts are known by hash and length, so copies share their result and each row keeps it; null and empty texts and
 those shorter than `size` lose nothing; null doc_ids and repeated rows keep a row each; an empty table gives an empty
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import forget, ship, text_of, written
 
 K = 16
+BLOCK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,9 +90,38 @@ def anchors(b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at, v[at].view(np.int64)
 
 
-def surroundings(b: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far windows that hold the anchor can reach to the left and right of its first byte in this text."""
-    return np.minimum(at, size - K), np.minimum(len(b) - at, size)
+def surroundings(n: int, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far windows that hold the anchor can reach to the left and right of its first byte in a text of n bytes."""
+    return np.minimum(at, size - K), np.minimum(n - at, size)
+
+
+def anchored(b: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, hashes, hashes of the surroundings) of a text's anchors, block by block: whether a place is an anchor, and
+    what surrounds it, depends on less than `size` bytes on either side."""
+    for a in range(0, len(b), BLOCK):
+        z = min(a + BLOCK, len(b))
+        before, after = max(0, a - size), min(len(b), z + size)
+        part = b[before:after]
+        if len(part) < size:
+            continue
+        at, v = anchors(part, size)
+        own = (at + before >= a) & (at + before < z)
+        at, v = at[own], v[own]
+        left, right = surroundings(len(b), at + before, size)
+        yield at + before, v, around(part, at, left, right)
+
+
+def folded(at: np.ndarray, v: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, step, times): runs of neighbours at equal distance with equal hashes and surroundings, as in periodic text."""
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    step = np.diff(at)
+    same = (v[1:] == v[:-1]) & (whole[1:] == whole[:-1])
+    goes_on = np.concatenate([[False], same])
+    goes_on[2:] &= ~same[:-1] | (step[1:] == step[:-1])  # a run has one distance
+    first = np.flatnonzero(~goes_on)
+    times = np.diff(np.append(first, len(at)))
+    return first, np.where(times > 1, np.append(step, 0)[first], 0), times
 
 
 def prefix_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,21 +148,20 @@ def around(b: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -
 
 
 def all_anchors(docs: DataFrame, size: int) -> DataFrame:
-    """(h, n, pos, anchor, around) of every text of at least `size` bytes."""
+    """(h, n, pos, step, times, anchor, around) of every text of at least `size` bytes."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-                at, v = anchors(b, size)
-                left, right = surroundings(b, at, size)
-                whole = around(b, at, left, right)
-                c = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(c, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(c, batch.column(1)[i].as_py(), np.int32)), pa.array(at.astype(np.int32)), pa.array(v), pa.array(whole)], names=["h", "n", "pos", "anchor", "around"])
+                for at, v, whole in anchored(b, size):
+                    first, step, times = folded(at, v, whole)
+                    c = len(first)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(c, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(c, batch.column(1)[i].as_py(), np.int32)), *(pa.array(x.astype(np.int32)) for x in (at[first], step, times)), pa.array(v[first]), pa.array(whole[first])], names=["h", "n", "pos", "step", "times", "anchor", "around"])
 
     rows = docs.select(*text_key(), F.encode(text_of(), "UTF-8").alias("b")).filter(F.col("n") >= size)
-    return rows.mapInArrow(run, "h long, n int, pos int, anchor long, around long")
+    return rows.mapInArrow(run, "h long, n int, pos int, step int, times int, anchor long, around long")
 
 
 def common_prefix(rows: np.ndarray) -> np.ndarray:
@@ -136,6 +170,20 @@ def common_prefix(rows: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), rows.shape[1], same.argmin(1))
 
 
+def common_to(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    lo, hi = 0, min(len(a), len(b))
+    if a[:hi] == b[:hi]:
+        return hi
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
 def interval_tree(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(length, first, end) of each interval of a suffix array with lcp[i] between i and i + 1, inner ones first."""
     stack = [(0, 0)]
@@ -148,10 +196,18 @@ def interval_tree(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((v, first))
 
 
-def maximal_repeats(contexts: list[bytes], lefts: list[int], size: int) -> list[list[tuple[int, int]]]:
-    """Of each anchor (bytes around it, how many stand before it) the repeats (left, right) of `size` bytes or more that
-    it shares with another."""
+def maximal_repeats(contexts: list[bytes], lefts: list[int], size: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Of an anchor's members (bytes around it, how many stand before it), different in pairs, the groups that share a
+    repeat of `size` bytes or more: (bytes to the left, bytes from the anchor on, members). A repeat can't be extended
+    within the surroundings without losing a member: to the right, as its members lie in more than one child of the
+    interval; to the left, as they are a node of the tree over their left sides, or begin there at the anchor itself."""
     m = len(contexts)
+    if m == 2:
+        (c, d), (x, y) = contexts, lefts
+        left, right = common_to(c[:x][::-1], d[:y][::-1]), common_to(c[x:], d[y:])
+        if left + right >= size:
+            yield left, right, [0, 1]
+        return
     fill = np.arange(m, dtype=np.uint32) + 256
     right, left = np.repeat(fill[:, None], size, 1), np.repeat(fill[:, None], size - K, 1)
     for i, (c, n) in enumerate(zip(contexts, lefts)):
@@ -160,100 +216,167 @@ def maximal_repeats(contexts: list[bytes], lefts: list[int], size: int) -> list[
         left[i, :n] = b[:n][::-1]
     by_right = np.array(sorted(range(m), key=lambda i: contexts[i][lefts[i] :]))
     flipped = [contexts[i][: lefts[i]][::-1] for i in range(m)]
-    rank = np.empty(m, np.int64)
+    rank, place = np.empty(m, np.int64), np.empty(m, np.int64)
     by_left = np.array(sorted(range(m), key=flipped.__getitem__))
-    rank[by_left] = np.arange(m)
-    left_lcp = common_prefix(left[by_left])
-    out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-    best = np.zeros(m, np.int64)  # of each member, the left reach already given with a longer right one
-    for length, a, z in interval_tree(common_prefix(right[by_right])):
-        members = by_right[a:z]
-        r = np.sort(rank[members])
+    rank[by_left], place[by_right] = np.arange(m), np.arange(m)
+    left_lcp, right_lcp = common_prefix(left[by_left]), common_prefix(right[by_right])
+    for length, a, z in interval_tree(right_lcp):
+        r = np.sort(rank[by_right[a:z]])
         # least common prefix between neighbours in left order, over the members that are left out between them
-        gap = np.minimum.reduceat(left_lcp, r[:-1]) if len(r) > 1 and r[-1] == m - 1 else np.minimum.reduceat(left_lcp, r)[:-1]
-        reach = np.maximum(np.concatenate([[0], gap]), np.concatenate([gap, [0]]))
+        gap = np.minimum.reduceat(left_lcp, r[:-1]) if r[-1] == m - 1 else np.minimum.reduceat(left_lcp, r)[:-1]
+        if gap.max(initial=0) + length < size:
+            continue
         who = by_left[r]
-        new = (reach + length >= size) & (reach > best[who])
-        for i, v in zip(who[new].tolist(), reach[new].tolist()):
-            out[i].append((v, length))
-        best[who] = np.maximum(best[who], reach)
+        child = np.concatenate([[0], np.cumsum(right_lcp[a : z - 1] == length)])[place[who] - a]
+        shared = gap + length >= size
+        for depth, x, y in interval_tree(np.where(shared, gap, 0)):
+            if child[x:y].min() != child[x:y].max():
+                yield depth, length, who[x:y].tolist()
+        if length >= size and gap.min() == 0:  # their left bytes differ: the repeat begins at the anchor
+            yield 0, length, who.tolist()
+
+
+def reaching(groups: Iterator[tuple[int, int, list[int]]], m: int) -> list[list[tuple[int, int]]]:
+    """Of each member the (left, right) of its groups, without those inside another one."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
+    for left, right, members in groups:
+        for i in members:
+            if not any(x >= left and y >= right for x, y in out[i]):
+                out[i] = [(x, y) for x, y in out[i] if x > left or y > right] + [(left, right)]
     return out
 
 
-def repeats(docs: DataFrame, size: int = 200, most: int = 60_000) -> DataFrame:
-    """(h, n, spans): of each text with repeated passages, the array of (start, end) to remove, not merged."""
-    known = written(all_anchors(docs, size), "anchors")
-    kinds = written(known.groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("often"), F.min(F.struct("h", "n", "pos")).alias("one")), "surroundings")
-    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    open_ = written(kinds.join(groups, "anchor").select("anchor", "around", "one.h", "one.n", "one.pos", "kinds"), "open")
+CONTEXT = "piece long, anchor long, around long, often long, left int, bytes binary"
+REACH = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("repeat", pa.int64())])
+
+
+def contexts_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """CONTEXT of members (anchor, around, often, h, n, pos): the bytes around one occurrence of each. Texts move once, and
+    of neighbouring copies of a text one is read."""
     text = docs.select(*text_key(), F.encode(text_of(), "UTF-8").alias("b")).filter(F.col("n") >= size)
-    asked = written(open_.groupBy("h", "n").agg(F.collect_list(F.struct("pos", "anchor", "around", (F.col("kinds") > most).alias("big"))).alias("at")), "asked")
+    asked = members.groupBy("h", "n").agg(F.collect_list(F.struct("pos", "anchor", "around", "often")).alias("at"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.column(0)[i].as_py()
-                rows = [x for x in batch.column(1)[i].as_py() if not x["big"]]
-                if rows:
-                    left = [min(x["pos"], size - K) for x in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["anchor"] for x in rows]), pa.array([x["around"] for x in rows]), pa.array(left, pa.int32()), pa.array([b[x["pos"] - v : x["pos"] + size] for x, v in zip(rows, left)], pa.binary())], names=["anchor", "around", "left", "bytes"])
-
-    held = text.join(asked, ["h", "n"]).select("b", "at")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: dict) -> tuple[list, list]:
-            names = list(rows)
-            found = maximal_repeats([rows[x][1] for x in names], [rows[x][0] for x in names], size) if len(names) > 1 else [[]]
-            return [(now, x) for x, f in zip(names, found) if f], [f for f in found if f]
+            for i, text in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if text == last:
+                    continue
+                last, b, rows = text, batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
+                for k in range(0, len(rows), 5000):
+                    part = rows[k : k + 5000]
+                    left = [min(x["pos"], size - K) for x in part]
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in part], pa.int64()) for c in ("anchor", "anchor", "around", "often")), pa.array(left, pa.int32()), pa.array([b[x["pos"] - v : x["pos"] + size] for x, v in zip(part, left)], pa.binary())], names=["piece", "anchor", "around", "often", "left", "bytes"])
+
+    return text.join(asked, ["h", "n"]).select("h", "n", "b", "at").mapInArrow(gather, CONTEXT)
+
+
+def scanned(contexts: DataFrame, size: int, repeats: bool) -> DataFrame:
+    """(anchor, around, l, r, repeat) of the members of each piece that share repeats. With `repeats`, of every group, and
+    repeat is its string's hash; else only the widest, and none of members that occur several times."""
+    ship(contexts.sparkSession)
+
+    def done(rows: dict) -> Iterator[tuple]:
+        if len(rows) < 2 and not repeats:
+            return
+        names, held = list(rows), list(rows.values())
+        texts, lefts = [c for c, _, _ in held], [v for _, v, _ in held]
+        found = maximal_repeats(texts, lefts, size) if len(names) > 1 else iter(())
+        if repeats:
+            whole = [(v, len(c) - v, [i]) for i, (c, v, often) in enumerate(held) if often > 1 and len(c) >= size]  # a member of several is a group
+            for left, right, members in [*found, *whole]:
+                one = members[0]
+                string = int.from_bytes(hashlib.blake2b(texts[one][lefts[one] - left : lefts[one] + right], digest_size=8).digest(), "big", signed=True)
+                yield from ((*names[i], left, right, string) for i in members)
+        else:
+            for name, (_, _, often), reach in zip(names, held, reaching(found, len(names))):
+                if often == 1:
+                    yield from ((*name, left, right, 0) for left, right in reach)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), REACH)], schema=REACH)
         now, rows = None, {}
         for batch in batches:
-            ids, out = [], []
-            for anchor, around_, left, b in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if anchor != now:
-                    x, f = done(rows)
-                    ids, out, now, rows = ids + x, out + f, anchor, {}
-                rows[around_] = (left, b)
-            if ids:
-                yield found_batch(ids, out)
-        ids, out = done(rows)
-        if ids:
-            yield found_batch(ids, out)
-
-    contexts = held.mapInArrow(gather, "anchor long, around long, left int, bytes binary")
-    small = contexts.repartition("anchor").sortWithinPartitions("anchor", "around").mapInArrow(scan, "anchor long, around long, reach array<struct<l:int,r:int>>")
-    found = [small]
-    if not open_.filter(F.col("kinds") > most).isEmpty():
-        found.append(split_groups(held, size))
-    whole = kinds.filter("often > 1").select("anchor", "around", F.array(F.struct(F.lit(size).alias("l"), F.lit(size).alias("r"))).alias("reach"))
-    reach = written(found[0].unionByName(whole) if len(found) == 1 else found[0].unionByName(found[1]).unionByName(whole), "reach")
-    spans = known.join(reach, ["anchor", "around"]).select("h", "n", F.explode("reach").alias("x"), "pos").select("h", "n", F.greatest(F.col("pos") - F.least(F.col("x.l"), F.lit(size - K)), F.lit(0)).alias("a"), F.least(F.col("pos") + F.col("x.r"), F.col("n")).alias("z"))
-    out = written(spans.distinct().groupBy("h", "n").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
-    forget(known, kinds, open_, asked, reach)
+            out = []
+            for piece, anchor, around_, often, left, b in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if piece != now:
+                    out += done(rows)
+                    now, rows = piece, {}
+                rows[anchor, around_] = (b, left, often)
+            if out:
+                yield batch_of(out)
+        out = list(done(rows))
+        if out:
+            yield batch_of(out)
+
+    return contexts.repartition("piece").sortWithinPartitions("piece", "anchor", "around").mapInArrow(run, "anchor long, around long, l int, r int, repeat long")
+
+
+def dealt_again(contexts: DataFrame, size: int, most: int, repeats: bool) -> DataFrame:
+    """As scanned, for anchors with more than `most` members. A row stands for the windows that begin lo to hi bytes left
+    of its anchor; each turn halves that range."""
+    rows = written(contexts.dropDuplicates(["anchor", "around"]).withColumns({"lo": F.lit(0), "hi": F.lit(size - K)}), "large")
+    out = None
+    while not rows.isEmpty():
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        half = F.explode(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi"))))
+        halves = rows.withColumn("half", half).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half")
+        fits = (F.col("left") >= F.col("lo")) & (F.octet_length("bytes") - F.col("left") >= size - F.col("hi"))
+        core = F.md5(F.substring("bytes", F.col("left") - F.col("lo") + 1, F.col("lo") + size - F.col("hi")))
+        dealt = written(halves.filter(fits).withColumn("core", core).withColumn("piece", F.xxhash64("piece", "lo", "core")), "halves")
+        forget(rows)
+        told = dealt.join(dealt.groupBy("piece", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), ["piece", "core"])
+        alone = F.col("lo") == F.col("hi")
+        # a piece of one place is a window: all its members are a group
+        group = told.filter(alone).select("anchor", "around", F.col("lo").alias("l"), (F.lit(size) - F.col("lo")).cast("int").alias("r"), F.xxhash64("core").alias("repeat"))
+        few = scanned(told.filter(~alone & (F.col("kinds") <= most)).select("piece", "anchor", "around", "often", "left", "bytes"), size, repeats)
+        found = written(group.unionByName(few), "found")
+        out = found if out is None else out.unionByName(found)
+        rows = written(told.filter(~alone & (F.col("kinds") > most)).drop("kinds", "core"), "large")
+        forget(dealt)
+    forget(rows)
     return out
 
 
-def found_batch(ids: list, reach: list) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("l", pa.int32()), ("r", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), pa.array([[{"l": a, "r": b} for a, b in f] for f in reach], kind)], names=["anchor", "around", "reach"])
+def reaches(docs: DataFrame, known: DataFrame, size: int, most: int, repeats: bool) -> DataFrame:
+    """(anchor, around, l, r, repeat), written: how far the members of each anchor reach."""
+    kinds = written(known.groupBy("anchor", "around").agg(F.sum("times").alias("often"), F.min(F.struct("h", "n", "pos")).alias("one")).select("anchor", "around", "often", "one.*"), "surroundings")
+    groups = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    members = kinds.join(groups, "anchor").select("anchor", "around", "often", "h", "n", "pos", "kinds")
+    # a member that occurs several times is a leaf with its number; alone in its anchor, it is the whole tree
+    leaves = kinds.filter("often > 1")
+    if repeats:
+        leaves = leaves.join(groups, "anchor", "left_anti")
+    left, right = F.least("pos", F.lit(size - K)), F.least(F.col("n") - F.col("pos"), F.lit(size))
+    reach = [leaves.filter(left + right >= size).select("anchor", "around", left.alias("l"), right.alias("r"), F.xxhash64("anchor", "around").alias("repeat"))]
+    reach.append(scanned(contexts_of(docs, members.filter(F.col("kinds") <= most), size), size, repeats))
+    large = members.filter(F.col("kinds") > most)
+    if not large.isEmpty():
+        reach.append(dealt_again(contexts_of(docs, large, size), size, most, repeats))
+    out = written(reduce(DataFrame.unionByName, reach), "reach")
+    forget(kinds)
+    return out
 
 
-def split_groups(held: DataFrame, size: int) -> DataFrame:
-    """For anchors with very many surroundings: every window of `size` bytes over the anchor, hashed and counted."""
+def repeats(docs: DataFrame, size: int = 200, most: int = 4000) -> DataFrame:
+    """(h, n, spans): of each text with repeated passages, the array of (start, end) to remove, not merged."""
+    known = written(all_anchors(docs, size), "anchors")
+    reach = reaches(docs, known, size, most, False)
+    last = F.col("pos") + (F.col("times") - 1) * F.col("step")
+    spans = known.join(reach, ["anchor", "around"]).select("h", "n", (F.col("pos") - F.col("l")).alias("a"), (last + F.col("r")).alias("z"))
+    out = written(spans.distinct().groupBy("h", "n").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "spans")
+    forget(known, reach)
+    return out
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = batch.column(0)[i].as_py()
-                for x in (x for x in batch.column(1)[i].as_py() if x["big"]):
-                    lefts = [v for v in range(min(x["pos"], size - K) + 1) if x["pos"] - v + size <= len(b)]
-                    hashes = [hashlib.blake2b(b[x["pos"] - v : x["pos"] - v + size], digest_size=16).digest() for v in lefts]
-                    yield pa.RecordBatch.from_arrays([pa.array([x["anchor"]] * len(lefts), pa.int64()), pa.array([x["around"]] * len(lefts), pa.int64()), pa.array(lefts, pa.int32()), pa.array(hashes, pa.binary())], names=["anchor", "around", "l", "w"])
-
-    rows = written(held.mapInArrow(windows, "anchor long, around long, l int, w binary"), "windows").distinct()
-    often = rows.groupBy("w", "l").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w", "l")
-    met = rows.join(often, ["w", "l"])
-    return met.groupBy("anchor", "around").agg(F.collect_list(F.struct("l", (F.lit(size) - F.col("l")).cast("int").alias("r"))).alias("reach"))
+
+def repeat_groups(docs: DataFrame, size: int = 200, most: int = 4000) -> DataFrame:
+    """(repeat, length, h, n, start): every occurrence of every maximal repeat of `size` bytes or more, a row each; repeat
+    names its string by hash, h and n the text as in text_key. A repeat that is longer than an anchor's surroundings is
+    given in pieces, one for each anchor in it."""
+    known = written(all_anchors(docs, size), "anchors")
+    reach = reaches(docs, known, size, most, True)
+    at = known.join(reach, ["anchor", "around"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+    return at.select("repeat", (F.col("l") + F.col("r")).alias("length"), "h", "n", (F.col("pos") + F.col("i") * F.col("step") - F.col("l")).alias("start")).distinct()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
