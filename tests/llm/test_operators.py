@@ -234,17 +234,112 @@ def test_large_nodes_are_split(spark, monkeypatch):
     assert all(r.component_id == want[r.doc_id][1] for r in got)
 
 
+def test_large_nodes_of_several_labels(spark, monkeypatch):
+    """Chains whose neighbours alone are linked, and clusters beside each other, in nodes that stay large at every level."""
+    monkeypatch.setattr(neardup, "LEAF", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    monkeypatch.setattr(neardup, "SHINGLES", 500)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    w = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(w[2 * i : 2 * i + 100])) for i in range(60)]
+    rows += [(100 + i, " ".join(w[:90] + [f"x{i}"] + w[91:100] + w[200 : 200 + 14 * (i % 3)])) for i in range(45)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    want = brute.components(rows)
+    assert all(r.component_id == want[r.doc_id][1] for r in got)
+
+
+def test_recall_at_the_last_level(spark, monkeypatch):
+    """With nodes so small that every tree is grown to its last level, linked pairs of whole documents stay together."""
+    monkeypatch.setattr(neardup, "LEAF", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    want = brute.components(rows)
+    linked = [d for d in want if want[d][1] != d]
+    assert sum(got[d] == want[d][1] for d in linked) >= 0.98 * len(linked) > 0 and all(got[d] == d or got[d] in want for d in want)
+
+
 @pytest.mark.parametrize("most", [20_000, 2])
 def test_repeats(spark, docs, most, monkeypatch):
     whole = substrings.repeats
     monkeypatch.setattr(substrings, "repeats", lambda d, size=200: whole(d, size, most))
-    small = [r for r in docs[1] if len(r[1] or "") < 20_000]
+    small = docs[1]
     got = substrings.deduplicated(spark.createDataFrame(small, "doc_id long, text string"), 200, False).collect()
     want = brute.repeats([(i, t) for i, (_, t) in enumerate(small)])
     assert sorted(tuple(r)[1:] for r in got) == sorted(want.values())
     assert substrings.deduplicated(empty(spark)).count() == 0
 
 
+def test_repeats_of_long_texts(spark):
+    """A text of 1 MB that shares a passage, and one byte 5 MB long: few rows for periodic text, none for each place."""
+    r = np.random.default_rng(3)
+    noise = bytes(r.integers(97, 123, 1_000_000, np.uint8)).decode()
+    passage = bytes(r.integers(97, 123, 300, np.uint8)).decode()
+    rows = [(1, noise[:600_000] + passage + noise[600_000:]), (2, "A" + passage + "B"), (3, "x" * 5_000_000), (4, noise[:150] + "é" * 120), (5, "ab" * 150 + "c" + "ab" * 150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.deduplicated(df, 200, False).collect()}
+    assert got == {1: (300, 1), 2: (300, 1), 3: (5_000_000, 1), 4: (0, 0), 5: (600, 2)} | {4: brute.repeats([(4, rows[3][1])])[4][1:3], 5: brute.repeats([(5, rows[4][1])])[5][1:3]}
+    assert substrings.all_anchors(df.filter("doc_id = 3"), 200).count() < 3000
+
+
+@pytest.mark.parametrize("most", [4000, 2])
+def test_repeat_groups(spark, most):
+    """Every maximal group of windows against brute force: strings of 200 bytes or more, each with all its occurrences."""
+    r = np.random.default_rng(4)
+    word = lambda n: bytes(r.integers(97, 101, n, np.uint8)).decode()
+    p, q = word(260), word(210)
+    rows = [(1, word(90) + p + word(50)), (2, word(30) + p[:220] + word(80)), (3, p[30:] + word(40) + q), (4, q + word(9)), (5, word(300)), (6, word(5) + p[20:240])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = {(x.h, x.n): x.doc_id for x in docs.select("doc_id", *substrings.text_key()).collect()}
+    texts = dict(rows)
+    groups = {}
+    for g in substrings.repeat_groups(docs, 200, most).collect():
+        groups.setdefault((g.repeat, g.length), set()).add((keyed[g.h, g.n], g.start))
+    windows = {}
+    for d, t in rows:
+        for i in range(len(t) - 199):
+            windows.setdefault(t[i : i + 200], set()).add((d, i))
+    seen = {}
+    for (_, length), at in groups.items():
+        strings = {texts[d][i : i + length] for d, i in at}
+        assert len(strings) == 1 and length >= 200 and len(at) > 1
+        for d, i in at:
+            for k in range(length - 199):
+                seen.setdefault(texts[d][i + k : i + k + 200], set()).add((d, i + k))
+    assert seen == {w: at for w, at in windows.items() if len(at) > 1}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_maximal_repeats(seed):
+    """Of random contexts over few letters: each group shares its repeat, can't grow, and every sharing pair is in one."""
+    r = np.random.default_rng(seed)
+    made = [bytes(r.integers(97, 99, 400, np.uint8)) for _ in range(3)]
+    size, members = 60, {}
+    for _ in range(25):
+        c = bytearray(made[r.integers(3)][150:250])
+        for _ in range(r.integers(3)):
+            c[r.integers(100)] ^= 1
+        left = 44
+        c[left : left + 16] = b"anchoranchoranch"
+        a, z = int(r.integers(0, 20)), int(r.integers(0, 20))
+        members[bytes(c[a : 100 - z])] = left - a
+    contexts, lefts = list(members), list(members.values())
+    pairs = {}
+    for left, right, group in substrings.maximal_repeats(contexts, lefts, size):
+        assert left + right >= size and len({contexts[i][lefts[i] - left : lefts[i] + right] for i in group}) == 1
+        ends = [(contexts[i][lefts[i] - left - 1 : lefts[i] - left] if lefts[i] > left else i, contexts[i][lefts[i] + right : lefts[i] + right + 1] or i) for i in group]
+        assert len({a for a, _ in ends}) > 1 and (len({z for _, z in ends}) > 1 or right == size)
+        for i in group:
+            for j in group:
+                pairs.setdefault((i, j), set()).add((left, right))
+    for i in range(len(contexts)):
+        for j in range(i):
+            left = substrings.common_to(contexts[i][: lefts[i]][::-1], contexts[j][: lefts[j]][::-1])
+            right = min(substrings.common_to(contexts[i][lefts[i] :], contexts[j][lefts[j] :]), size)
+            assert ((left, right) in pairs.get((i, j), set())) == (left + right >= size)
+
+
 def test_quality(spark):
     df = queries.op1_quality_crf(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert (df.predicted == df.quality).mean() > 0.95

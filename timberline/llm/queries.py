@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from . import chat, decontaminate, media, neardup, packing, pii, quality, secrets, spans, substrings, tokens
+from . import chat, decontaminate, media, neardup, packing, pii, quality, secrets, spans, sql, substrings, tokens
 from .common import documents, text_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,13 +51,28 @@ def op6_chosen_path_dedup(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, d), size=3, percent=85)
 
 
+def shown_on_pages(shown: DataFrame, pages: DataFrame, most: int = 64) -> DataFrame:
+    """(id, html): every row of shown (doc_id, digest) as a figure on some page, in front of the page's own content and
+    between lines of text. Pages are dealt by hash and repeat where they would show more than about `most` figures;
+    without pages, figures stand on pages of their own."""
+    n = max(1, pages.count())
+    parts, groups = -(-shown.count() // (n * most)) or 1, max(1, n // 16)
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    known = pages.select("page_id", group("page_id").alias("g")).withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("page_id"), "page_id")) - 1)
+    sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("in_group"))
+    dealt = shown.withColumn("at", F.xxhash64("doc_id", "digest")).withColumn("g", group("at")).join(sizes, "g", "left")
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("at", F.lit(1)), F.coalesce("in_group", F.lit(1)))).withColumn("part", F.pmod(F.xxhash64("at", F.lit(2)), F.lit(parts)))
+    figure = F.concat(F.lit("<p>figure</p><figure><img src=\"sha256:"), "digest", F.lit("\"><figcaption>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    figures = dealt.groupBy("g", "k", "part").agg(F.array_join(F.collect_list(figure), "").alias("figures")).join(known, ["g", "k"], "left")
+    return figures.join(pages.select("page_id", "html"), "page_id", "left").select(F.xxhash64("g", "k", "part").alias("id"), F.concat("figures", F.coalesce("html", F.lit(""))).alias("html"))
+
+
 def op7_media_sequence(spark: SparkSession, d: str) -> DataFrame:
-    """Each document becomes a page that shows its text, stored as an image, between a heading and a caption."""
-    docs = documents(spark, d).select("doc_id", F.encode(text_of(), "UTF-8").alias("payload"))
-    shown = docs.select("doc_id", "payload", F.sha2("payload", 256).alias("digest"))
-    pages = shown.select(F.col("doc_id").alias("id"), F.concat(F.lit("<article><h1>document</h1><figure><img src=\"sha256:"), "digest", F.lit("\"><figcaption>its text</figcaption></figure></article>")).alias("html"))
-    found = media.resolve(pages, shown.select("digest", "payload")).filter("kind = 'media'")
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    """Each document is a figure with its text as payload and its doc_id as caption, on one of the pages."""
+    docs = documents(spark, d).select("doc_id", F.encode(text_of(), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    pages = shown_on_pages(docs.select("doc_id", "digest"), spark.read.parquet(f"{d}/pages.parquet"))
+    found = media.resolve(pages, docs.select("digest", "payload")).filter("kind = 'media' and payload_bytes is not null")
+    return found.select(F.col("caption").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op8_suffix_repeats(spark: SparkSession, d: str) -> DataFrame:
@@ -78,4 +93,12 @@ def op10_best_fit_packing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_crf, op2_chat_hmm, op3_prefix_join_decontamination, op4_pii_disclosure, op5_token_arrow, op6_chosen_path_dedup, op7_media_sequence, op8_suffix_repeats, op9_secret_trigrams, op10_best_fit_packing)}
-SQL: dict[str, str] = {}
+#: op1 and op2 are trained models, op5 and op10 a tokenizer's ids.
+SQL: dict[str, str] = {
+    "op3_prefix_join_decontamination": sql.DECONTAMINATION,
+    "op4_pii_disclosure": sql.PII,
+    "op6_chosen_path_dedup": sql.NEAR_DUPLICATES,
+    "op7_media_sequence": sql.MEDIA,
+    "op8_suffix_repeats": sql.REPEATS,
+    "op9_secret_trigrams": sql.SECRETS,
+}
