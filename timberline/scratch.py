@@ -32,11 +32,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Whether Spark removes the shuffle files of a query when it ends, and not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors cost no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: its lineage ends there, and lost executors cost no recomputation. The shuffle
+    files that led to it go once it is complete."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
