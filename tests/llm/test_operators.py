@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from timberline.llm import chat, decontaminate, media, neardup, packing, pii, quality, queries, secrets, substrings, tokens
@@ -103,6 +104,21 @@ def test_secrets(spark, docs):
     assert "[ASSIGN]" in {r.doc_id: r.text for r in secrets.redact(docs[0]).collect()}[900010]
 
 
+def test_more_secrets(spark):
+    """The rules beyond the base ones, and one index for several scans."""
+    import re
+
+    key, host, web = "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "aZ9" * 13, "eyJabcdefgh.eyJabcdefgh.abcdefgh_-"
+    rows = [(1, f"x {key}\n{host} y"), (2, f"{web} z{host}"), (3, f"_{host}, {web}"), (4, None), (5, host.upper()), (6, key[:-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = secrets.postings(df, secrets.wanted(secrets.MORE))
+    plain = {"private_key": re.escape(key), "code_host": "(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}", "web_token": r"(?<![\w-])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"}
+    want = {(d, k, m.start(), m.end()) for d, t in rows for k, p in plain.items() for m in re.finditer(p, t or "")}
+    for rules in (secrets.MORE, secrets.MORE[:1], secrets.MORE[1:]):
+        got = {(r.doc_id, s.kind, s.start, s.end) for r in secrets.scan(df, rules, index=index).collect() for s in r.spans}
+        assert got == {w for w in want if w[1] in {r.kind for r in rules}} and got
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("abcd+") == [frozenset({"abc"})] and secrets.trigram_query("[0-9a-f]{24,}") == [frozenset()]
     assert set(secrets.trigram_query("(abc|xyz)[0-9]+")) == {frozenset({"abc"}), frozenset({"xyz"})}
@@ -149,6 +165,20 @@ def test_plan(seed):
             assert s[0][0] == 0 and s[-1][1] == n and all(x[1] == y[0] for x, y in zip(s, s[1:]))
 
 
+def test_tokens_in_order_of_the_ids_type(spark):
+    """Whole numbers and decimals in their own order, not that of their digits."""
+    for kind in ("int", "decimal(9,1)", "string"):
+        df = spark.createDataFrame([(i, f"text {i}") for i in (10, 9, 100, 1)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = tokens.token_files(df).orderBy("start")
+        assert got.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+        assert [int(r.doc_id) for r in got.collect()] == ([1, 10, 100, 9] if kind == "string" else [1, 9, 10, 100])
+
+
+def test_addresses(spark, tmp_path):
+    assert tokens.whole_address(spark, str(tmp_path / "x")).startswith("file:/")
+    assert tokens.filesystem("file:///a/b")[1] == tokens.filesystem("/a/b")[1] == "/a/b"
+
+
 def sequences(counts, room=2048, **how):
     return sum(r.count for r in packing.plan(counts, room, **how))
 
@@ -345,6 +375,46 @@ def test_quality(spark):
     assert (df.predicted == df.quality).mean() > 0.95
 
 
+def test_marginals_by_enumeration():
+    """Forward-backward of several chains against the sum over every labelling."""
+    from itertools import product
+
+    r = np.random.default_rng(2)
+    first = np.array([0, 1, 5, 11])
+    unary, turn = r.normal(size=11), r.normal(size=(2, 2))
+    good, pairs, total = np.zeros(11), np.zeros((2, 2)), 0.0
+    for a, z in zip(first[:-1], first[1:]):
+        weights = {y: np.exp(sum(unary[a + i] * v for i, v in enumerate(y)) + sum(turn[u, v] for u, v in zip(y, y[1:]))) for y in product((0, 1), repeat=z - a)}
+        whole = sum(weights.values())
+        total += np.log(whole)
+        for y, w in weights.items():
+            good[a:z] += w / whole * np.array(y)
+            for u, v in zip(y, y[1:]):
+                pairs[u, v] += w / whole
+    got = quality.marginals(unary, turn, first)
+    assert np.allclose(got[0], good) and np.allclose(got[1], pairs) and np.isclose(got[2], total)
+
+
+def test_scores_of_long_texts(monkeypatch):
+    """Texts that are read in slices and lines that are put together in parts score as in one piece."""
+    r = np.random.default_rng(1)
+    model = quality.Model(np.zeros(56), np.ones(56), r.normal(size=56), 0.1, r.normal(size=(2, 2)), (3.0, -1.0))
+    texts = [bytes(r.choice(list(b"abc XY 12,.!\n\n|#\t") + [200], n).astype(np.uint8)) for n in (0, 1, 50, 4000)] + [b"word and " * 3000, b"\n\n"]
+    want = model.scores(texts)
+    monkeypatch.setattr(quality, "SLICE", 37)
+    monkeypatch.setattr(quality, "LINES", 3)
+    assert np.allclose(model.scores(texts), want) and ((0 <= want) & (want <= 1)).all() and len(model.scores([b"x y " * 3_000_000])) == 1
+
+
+def test_fit_does_not_depend_on_order(spark, docs):
+    labels = spark.createDataFrame([(d, d % 2) for d, _ in docs[1]] + [(docs[1][0][0], 1)], "doc_id long, quality int")
+    twice = docs[0].unionByName(docs[0].withColumn("text", docs[0]["lang"]))
+    a, b = (quality.fit(x, y) for x, y in ((twice, labels), (twice.repartition(5), labels.repartition(3))))
+    assert (a.weight == b.weight).all() and a.curve == b.curve
+    small = quality.fit(twice, labels, max_documents=7, max_total=2000)
+    assert (quality.fit(twice.repartition(3), labels, max_documents=7, max_total=2000).weight == small.weight).all()
+
+
 def test_quality_edges(spark, docs):
     labels = spark.createDataFrame([(d, d % 2) for d, _ in docs[1]], "doc_id long, quality int")
     got = quality.score(docs[0], quality.fit(docs[0], labels)).toPandas()
@@ -361,6 +431,41 @@ def test_chats(spark):
     assert chat.format_chats(spark.createDataFrame([], "id long, seq long, text string"), model).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_viterbi_by_enumeration(seed):
+    """The likeliest of every sequence of states."""
+    from itertools import product
+
+    r = np.random.default_rng(seed)
+    n = len(chat.STATES)
+    model = chat.Hmm(*(np.log(r.dirichlet(np.ones(k), m)) for k, m in ((n, None), (n, n), (chat.OBS, n))))
+    obs = r.integers(0, chat.OBS, 4).tolist()
+    score = lambda p: model.start[p[0]] + sum(model.turn[a, b] for a, b in zip(p, p[1:])) + sum(model.emit[s, o] for s, o in zip(p, obs))
+    assert np.isclose(score(model.viterbi(obs)), max(map(score, product(range(n), repeat=4)))) and model.viterbi([]) == []
+
+
+def test_chats_held_out(spark):
+    """Roles and whole texts of transcripts that the model has not seen."""
+    known = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), "role", "text")
+    seen = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(2)) == 0
+    model = chat.learn(known.filter(seen), queries.marked())
+    rest = known.filter(~seen)
+    got = chat.format_chats(rest.select("id", "seq", queries.marked().alias("text")), model).toPandas().sort_values(["id", "turn"]).groupby("id")
+    want = rest.toPandas().sort_values(["id", "seq"]).groupby("id")
+    same = got.role.agg(list) == want.role.agg(list)
+    assert same.mean() > 0.95 and (got.text.agg(list)[same] == want.text.agg(list)[same]).all()
+
+
+def test_chats_of_ties_and_long_transcripts(spark):
+    """Rows of equal seq are ordered by text, and a long transcript keeps every line."""
+    known = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), "role", "text")
+    model = chat.learn(known, queries.marked(), 500)
+    a, b = (sorted(r.text for r in known.filter((F.col("role") == role) & ~F.contains("text", F.lit("\n"))).collect())[0] for role in ("assistant", "user"))
+    rows = [(1, 0, f"User: {b}"), (1, 0, f"System: {a}"), (1, 1, f"Assistant: {a}")] + [(2, i, f"Assistant: {a} {i}" if i % 2 else f"User: {b} {i}") for i in range(5000)]
+    got = chat.format_chats(spark.createDataFrame(rows, "id long, seq long, text string"), model).toPandas().sort_values(["id", "turn"])
+    assert list(got[got.id == 1].text) == [a, b, a] and list(got[got.id == 2].text) == [f"{a if i % 2 else b} {i}" for i in range(5000)]
+
+
 def test_chat_texts(spark):
     """Turns hold the whole text: blank lines, and words like markers where the role goes on."""
     first, later, mark = (lambda s: chat.observe(s, False)[0]), (lambda s: chat.observe(s, True)[0]), chat.observe("A: 42", False)[0]

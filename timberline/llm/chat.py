@@ -115,11 +115,13 @@ def parse(chunks: list[str], model: Hmm) -> list[tuple[str, str]]:
 
 def learn(known: DataFrame, marked: Column, max_rows: int = 20_000) -> Hmm:
     """known (id, seq, role, text), marked: the raw chunk of a row. Fits on the transcripts of at most max_rows rows,
-    the least by hash of their id."""
-    rows = known.select("id", "seq", "role", marked.alias("raw")).orderBy(F.xxhash64("id"), "id", "seq").limit(max_rows).collect()
+    the least by hash of their id; the last of them is left out if the bound may have cut it, unless it is the only one."""
+    rows = known.select("id", "seq", "role", marked.alias("raw")).orderBy(F.xxhash64("id"), "id", "seq", "raw").limit(max_rows).collect()
     by: dict = {}
     for r in rows:
         by.setdefault(r.id, []).append(r)
+    if len(rows) == max_rows and len(by) > 1:
+        by.pop(rows[-1].id)
     sequences = []
     for part in by.values():
         obs, _, of, _ = split_lines([r.raw for r in part])

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import ship
 
@@ -29,20 +29,28 @@ for _chars, _c in ((b"abcdefghijklmnopqrstuvwxyz", 1), (b"ABCDEFGHIJKLMNOPQRSTUV
     CLASS_OF[list(_chars)] = _c
 CLASS_OF[128:] = 9
 CHUNK = 8 << 20
+SLICE, LINES = 1 << 20, 1 << 16
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features of each line and its neighbours, first line of each text and the end, bytes of each line)."""
+def own_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each line by itself, first line of each text and the end, bytes of each line). Bytes are classified
+    SLICE at a time, so that memory beside the text goes with its lines."""
     buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.flatnonzero(buf == 10)
     sizes = np.diff(ends, prepend=-1)
     first = np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])]).astype(np.int64)
-    cls = CLASS_OF[buf]
-    key = np.repeat(np.arange(len(ends), dtype=np.int64) * CLASSES, sizes) + cls
-    n = np.bincount(key, minlength=len(ends) * CLASSES).reshape(-1, CLASSES).astype(np.float64)
-    begins = np.empty(len(buf), bool)
-    begins[0], begins[1:] = cls[0] not in (0, 4), ~np.isin(cls[1:], (0, 4)) & np.isin(cls[:-1], (0, 4))
-    words = np.add.reduceat(begins.astype(np.int64), ends - sizes + 1)
+    n, words = np.zeros((len(ends), CLASSES)), np.zeros(len(ends))
+    apart = True  # whether the byte before separates words
+    for a in range(0, len(buf), SLICE):
+        cls = CLASS_OF[buf[a : a + SLICE]]
+        i, z = np.searchsorted(ends, [a, a + len(cls) - 1])
+        edges = np.concatenate([[0], ends[i:z] + 1 - a, [len(cls)]])
+        line = np.repeat(np.arange(z - i + 1), np.diff(edges))
+        n[i : z + 1] += np.bincount(line * CLASSES + cls, minlength=(z - i + 1) * CLASSES).reshape(-1, CLASSES)
+        gap = (cls == 0) | (cls == 4)
+        begins = ~gap & np.concatenate([[apart], gap[:-1]])
+        words[i : z + 1] += np.bincount(line[begins], minlength=z - i + 1)
+        apart = bool(gap[-1])
     length = sizes - 1.0
     some, letters = np.maximum(length, 1), np.maximum(n[:, 1] + n[:, 2], 1)
     share = lambda *c: sum(n[:, i] for i in c) / some
@@ -52,11 +60,22 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         np.minimum(length / np.maximum(words, 1), 30) / 10, np.log1p(length), length == 0,
         share(7) > 0.03, share(6) > 0.03, share(8) > 0.02, share(3) > 0.2, n[:, 2] / letters > 0.5, np.isin(last, list(b".!?\"")),
     ]).astype(np.float32)
-    head, tail = np.zeros(len(own), bool), np.zeros(len(own), bool)
-    head[first[:-1]], tail[first[1:] - 1] = True, True
-    before, after = np.roll(own, 1, 0), np.roll(own, -1, 0)
+    return own, first, length
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray, a: int, z: int) -> np.ndarray:
+    """Features of lines a to z and their neighbours of the same text, with marks of its first and last line."""
+    rows = np.arange(a, z)
+    head, tail = np.isin(rows, first[:-1]), np.isin(rows + 1, first[1:])
+    before, after = own[np.maximum(rows - 1, 0)], own[np.minimum(rows + 1, len(own) - 1)]
     before[head], after[tail] = 0, 0
-    return np.hstack([own, before, after, head[:, None], tail[:, None]]), first, length
+    return np.hstack([own[a:z], before, after, head[:, None], tail[:, None]])
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features of each line and its neighbours, first line of each text and the end, bytes of each line)."""
+    own, first, length = own_features(texts)
+    return with_neighbours(own, first, 0, len(own)), first, length
 
 
 def marginals(unary: np.ndarray, turn: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -95,12 +114,11 @@ class Model:
     turn: np.ndarray
     curve: tuple[float, float]
 
-    def good(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return marginals(((x - self.mean) / self.scale) @ self.weight + self.bias, self.turn, first)[0]
-
-    def shares(self, x: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def shares(self, own: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of each text the share of good bytes. Features of neighbours are put together for LINES lines at a time."""
+        unary = np.concatenate([((with_neighbours(own, first, a, min(a + LINES, len(own))) - self.mean) / self.scale) @ self.weight + self.bias for a in range(0, len(own), LINES)])
         w = np.maximum(length, 1)
-        return np.add.reduceat(self.good(x, first) * w, first[:-1]) / np.add.reduceat(w, first[:-1])
+        return np.add.reduceat(marginals(unary, self.turn, first)[0] * w, first[:-1]) / np.add.reduceat(w, first[:-1])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out, part, used = [], [], 0
@@ -108,10 +126,10 @@ class Model:
             part.append(t)
             used += len(t)
             if used >= CHUNK:
-                out.append(self.shares(*line_features(part)))
+                out.append(self.shares(*own_features(part)))
                 part, used = [], 0
         if part:
-            out.append(self.shares(*line_features(part)))
+            out.append(self.shares(*own_features(part)))
         a, b = self.curve
         return 1 / (1 + np.exp(-(a * np.concatenate(out or [np.empty(0)]) + b)))
 
@@ -132,21 +150,29 @@ def ascend(x: np.ndarray, y: np.ndarray, first: np.ndarray, w: np.ndarray, bias:
     return p[:-5], float(p[-5]), p[-4:].reshape(2, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, max_bytes: int = 200_000, steps: int = 120) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, max_bytes: int = 200_000, max_total: int = 32 << 20, steps: int = 120) -> Model:
     """Fits on at most max_documents labelled rows outside the held-out fold, crc32(doc_id as text) mod 4 = 2: those of
-    the least hash, without texts of more than max_bytes. The two bounds hold whatever the tables' sizes; only the ids
-    are broadcast. Lines start with their document's label; after a first fit, lines of bad documents that look good are
-    relabelled and the fit is repeated."""
+    the least hash, without texts of more than max_bytes, until they come to max_total bytes. The three bounds hold
+    whatever the tables' sizes. A doc_id that repeats counts once, with its greatest label and its text of least hash.
+    Lines start with their document's label; after a first fit, lines of bad documents that look good are relabelled and
+    the fit is repeated."""
+    spark = docs.sparkSession
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_documents)
-    texts = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).join(F.broadcast(chosen), "doc_id").filter(F.octet_length("text") <= max_bytes)
-    rows = sorted(texts.select("doc_id", "text", "quality").limit(2 * max_documents).collect(), key=lambda r: (r.doc_id, bytes(r.text), r.quality))
+    chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents)
+    texts = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).filter(F.octet_length("text") <= max_bytes)
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))).alias("one")).select("doc_id", "quality", "one.*").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    total = np.cumsum([r.n for r in sizes])
+    picked = [(r.doc_id, r.quality, r.h) for r, t in zip(sizes, total) if t <= max_total]
+    wanted = spark.createDataFrame(picked, T.StructType([docs.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("h", T.LongType())]))
+    met = texts.join(F.broadcast(wanted), "doc_id").filter(F.xxhash64("text") == F.col("h")).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
+    rows = sorted(met.collect(), key=lambda r: (r.doc_id, bytes(r.text)))
     labels = np.array([int(r.quality > 0) for r in rows])
     if len(set(labels.tolist())) < 2:  # nothing to learn from: one score for all
         n = 3 * 18 + 2
         share = float(labels.mean()) if len(labels) else 0.5
         return Model(np.zeros(n), np.ones(n), np.zeros(n), 0.0, np.zeros((2, 2)), (0.0, float(np.log((share + 0.01) / (1.01 - share)))))
-    x, first, length = line_features([bytes(r.text) for r in rows])
+    own, first, length = own_features([bytes(r.text) for r in rows])
+    x = with_neighbours(own, first, 0, len(own))
     mean, scale = x.mean(0), x.std(0) + 1e-3
     x = (x - mean) / scale
     y = np.repeat(labels, np.diff(first))
@@ -155,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = 3000, max_bytes
     y2 = np.where((y == 0) & (alone > 1.0), 1, y)
     w, bias, turn = ascend(x, y2, first, w, bias, turn, steps)
     model = Model(mean, scale, w, bias, turn, (1.0, 0.0))
-    s = model.shares(x * scale + mean, first, length)
+    s = model.shares(own, first, length)
     a, b = 0.0, 0.0
     for _ in range(200):  # Newton's steps on the curve, with a little ridge
         q = 1 / (1 + np.exp(-(a * s + b)))

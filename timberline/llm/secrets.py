@@ -135,16 +135,22 @@ def reduced(qs: list[frozenset]) -> list[frozenset]:
     return [q for q in dict.fromkeys(qs) if not any(o < q for o in qs)]
 
 
-def postings(docs: DataFrame, wanted: list[str]) -> DataFrame:
-    """The inverted index: (trigram, text_key), each once."""
-    low = F.lower(text_of())
-    held = F.filter(F.array(*map(F.lit, wanted)), lambda t: F.contains(F.col("_low"), t))
-    texts = docs.select(F.md5(text_of()).alias("text_key"), low.alias("_low"))
-    return texts.select("text_key", F.explode(held).alias("trigram")).distinct()
+def wanted(rules: list[Rule]) -> list[str]:
+    """The trigrams that the rules' queries ask for."""
+    return sorted({t for r in rules for q in trigram_query(r.plain or r.pattern) for t in q})
 
 
-def candidates(docs: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, set[str]]:
-    """(text_key, kinds) of texts that fulfil some rule's query, and the kinds that have none."""
+def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """The inverted index over these trigrams, written: (trigram, text_key), each once. It serves any rules whose queries
+    ask for these trigrams alone, so it can be built once for many scans."""
+    held = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("_low"), t))
+    texts = docs.select(F.md5(text_of()).alias("text_key"), F.lower(text_of()).alias("_low"))
+    return written(texts.select("text_key", F.explode(held).alias("trigram")).distinct(), "postings")
+
+
+def candidates(docs: DataFrame, rules: list[Rule], index: DataFrame | None = None) -> tuple[DataFrame | None, set[str]]:
+    """(text_key, kinds) of texts that fulfil some rule's query, and the kinds that have none. Of each conjunction the
+    postings are intersected by counting them for a text."""
     asked, full = [], set()
     for r in rules:
         qs = trigram_query(r.plain or r.pattern)
@@ -155,7 +161,7 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> tuple[DataFrame | None, se
     if not asked:
         return None, full
     table = docs.sparkSession.createDataFrame(asked, "part string, kind string, trigram string, need int")  # as long as the rules
-    index = postings(docs, sorted({t for _, _, t, _ in asked}))
+    index = postings(docs, wanted(rules)) if index is None else index
     met = index.join(F.broadcast(table), "trigram").groupBy("text_key", "part", "kind", "need").agg(F.count(F.lit(1)).alias("have")).filter("have = need")
     return met.groupBy("text_key").agg(F.collect_set("kind").alias("kinds")), full
 
@@ -168,10 +174,11 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return all_spans
 
 
-def scan(docs: DataFrame, rules: list[Rule] | None = None, to: str = "spans") -> DataFrame:
-    """docs with the column `to` (replaced if there is one): an array of (kind, start, end, match) by start, then rule."""
+def scan(docs: DataFrame, rules: list[Rule] | None = None, to: str = "spans", index: DataFrame | None = None) -> DataFrame:
+    """docs with the column `to` (replaced if there is one): an array of (kind, start, end, match) by start, then rule.
+    index: the postings of these docs if they are there already."""
     rules = BASE + MORE if rules is None else rules
-    found, full = candidates(docs, rules)
+    found, full = candidates(docs, rules, index)
     key, kinds = f"{OWN}key", f"{OWN}kinds"
     rows = docs.withColumn(key, F.md5(text_of()))
     if found is None:

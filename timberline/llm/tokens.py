@@ -22,9 +22,9 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs, ipc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import scratch, ship
+from .common import located, scratch, ship
 
 END = b"\0\0\0\0"
 ROWS = 256
@@ -35,6 +35,8 @@ DOUBLE = re.compile(r"[\t\n\r ]{2}")
 #: A comma or full stop after anything but a letter or digit may belong to a longer piece.
 MARKS = re.compile("(?<![0-9A-Za-zÀ-ÖØ-öø-ɏ])[,.]")
 MOST = 400_000
+#: Types of doc_id that files hold as 64-bit numbers; any other is held as a string, in the order of its own type.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 _workers: dict = {}
 
 
@@ -127,9 +129,18 @@ def chunks(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    if urlparse(uri).scheme in ("", "file"):
+    """Arrow's file system of a whole address; Hadoop's names of S3 are Arrow's one."""
+    scheme = urlparse(uri).scheme
+    if scheme in ("", "file"):
         return fs.LocalFileSystem(), urlparse(uri).path
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(f"s3{uri[len(scheme) :]}" if scheme in ("s3a", "s3n") else uri)
+
+
+def whole_address(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme and host that Hadoop finds for it: those of fs.defaultFS, and what viewfs stands for."""
+    system, path = located(spark, folder)
+    system.mkdirs(path)
+    return system.resolvePath(path).toString()
 
 
 class ShardWriter:
@@ -214,8 +225,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, length: int = 20
     those of the attempt that Spark counts are listed."""
     spark = docs.sparkSession
     ship(spark)
-    kind = pa.int64() if docs.schema["doc_id"].dataType.simpleString() == "bigint" else pa.string()
-    ordered = docs.select("doc_id" if kind == pa.int64() else F.col("doc_id").cast("string").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    folder = whole_address(spark, folder)
+    whole = docs.schema["doc_id"].dataType.simpleString() in WHOLE
+    kind = pa.int64() if whole else pa.string()
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint" if whole else "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -260,5 +273,6 @@ def token_files(docs: DataFrame, vocabulary: str | None = None, length: int = 20
     """Encodes, writes shards into the folder (a new one in the shared folder by default) and reads them back."""
     spark = docs.sparkSession
     shards = write_shards(docs, folder or scratch(spark, "tokens"), vocabulary or default_vocabulary(), length)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return read_shards(spark, shards, "bigint" if kind == "bigint" else "string")
+    kind = docs.schema["doc_id"].dataType
+    read = read_shards(spark, shards, "bigint" if kind.simpleString() in WHOLE else "string")
+    return read.withColumn("doc_id", F.col("doc_id").cast(kind))
