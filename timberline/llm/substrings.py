@@ -14,9 +14,9 @@ neighbours are one row with their distance. Within an anchor:
   anchors.
 
 An anchor with more than `most` members is dealt again before it is sorted: a window begins at most size - k bytes left of
-the anchor, and halving that range gives two longer pieces around the anchor, of which equal windows share one. Pieces
-with few members are sorted like anchors; the range is halved until it is one place, where the piece is the window, and
-all its members are a group. Nothing is left out at any `most`, which only bounds what one task sorts.
+the anchor, and cutting that range into PARTS gives as many longer pieces around the anchor, of which equal windows share
+one. Pieces with few members are sorted like anchors; ranges are cut until they are one place, where the piece is the
+window, and all its members are a group. Nothing is left out at any `most`, which only bounds what one task sorts.
 
 Rows: texts are known by hash and length, so copies share their result and each row keeps it; null and empty texts and
 those shorter than `size` lose nothing; null doc_ids and repeated rows keep a row each; an empty table gives an empty
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import forget, ship, text_of, written
 
 K = 16
-BLOCK = 1 << 20
+BLOCK, PARTS = 1 << 20, 4
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -196,53 +196,78 @@ def interval_tree(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((v, first))
 
 
+class Members:
+    """An anchor's members, different in pairs (bytes around it, how many stand before it), sorted by what stands right
+    and left of it. Lengths are common prefixes between neighbours in either order."""
+
+    def __init__(self, contexts: list[bytes], lefts: list[int], size: int):
+        self.m, self.size = len(contexts), size
+        fill = np.arange(self.m, dtype=np.uint32) + 256
+        right, left = np.repeat(fill[:, None], size, 1), np.repeat(fill[:, None], size - K, 1)
+        for i, (c, n) in enumerate(zip(contexts, lefts)):
+            b = np.frombuffer(c, np.uint8)
+            right[i, : len(b) - n] = b[n:]
+            left[i, :n] = b[:n][::-1]
+        self.by_right = np.array(sorted(range(self.m), key=lambda i: contexts[i][lefts[i] :]))
+        flipped = [contexts[i][: lefts[i]][::-1] for i in range(self.m)]
+        self.by_left = np.array(sorted(range(self.m), key=flipped.__getitem__))
+        self.rank = np.empty(self.m, np.int64)
+        self.rank[self.by_left] = np.arange(self.m)
+        self.left_lcp, self.right_lcp = common_prefix(left[self.by_left]), common_prefix(right[self.by_right])
+
+    def intervals(self) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """(length, first, end, members in left order, what neighbours among them share to the left) of each interval of
+        the tree in which some share `size` bytes in all, inner ones first."""
+        for length, a, z in interval_tree(self.right_lcp):
+            r = np.sort(self.rank[self.by_right[a:z]])
+            # the least over the members that are left out between them
+            gap = np.minimum.reduceat(self.left_lcp, r[:-1]) if r[-1] == self.m - 1 else np.minimum.reduceat(self.left_lcp, r)[:-1]
+            if gap.max(initial=0) + length >= self.size:
+                yield length, a, z, self.by_left[r], gap
+
+
+def shared_by_two(contexts: list[bytes], lefts: list[int]) -> tuple[int, int]:
+    (c, d), (x, y) = contexts, lefts
+    return common_to(c[:x][::-1], d[:y][::-1]), common_to(c[x:], d[y:])
+
+
 def maximal_repeats(contexts: list[bytes], lefts: list[int], size: int) -> Iterator[tuple[int, int, list[int]]]:
-    """Of an anchor's members (bytes around it, how many stand before it), different in pairs, the groups that share a
-    repeat of `size` bytes or more: (bytes to the left, bytes from the anchor on, members). A repeat can't be extended
-    within the surroundings without losing a member: to the right, as its members lie in more than one child of the
-    interval; to the left, as they are a node of the tree over their left sides, or begin there at the anchor itself."""
-    m = len(contexts)
-    if m == 2:
-        (c, d), (x, y) = contexts, lefts
-        left, right = common_to(c[:x][::-1], d[:y][::-1]), common_to(c[x:], d[y:])
+    """Of an anchor's members the groups that share a repeat of `size` bytes or more: (bytes to the left, bytes from the
+    anchor on, members). A repeat can't be extended within the surroundings without losing a member: to the right, as its
+    members lie in more than one child of the interval; to the left, as they are a node of the tree over their left sides,
+    or begin there at the anchor itself."""
+    if len(contexts) == 2:
+        left, right = shared_by_two(contexts, lefts)
         if left + right >= size:
             yield left, right, [0, 1]
         return
-    fill = np.arange(m, dtype=np.uint32) + 256
-    right, left = np.repeat(fill[:, None], size, 1), np.repeat(fill[:, None], size - K, 1)
-    for i, (c, n) in enumerate(zip(contexts, lefts)):
-        b = np.frombuffer(c, np.uint8)
-        right[i, : len(b) - n] = b[n:]
-        left[i, :n] = b[:n][::-1]
-    by_right = np.array(sorted(range(m), key=lambda i: contexts[i][lefts[i] :]))
-    flipped = [contexts[i][: lefts[i]][::-1] for i in range(m)]
-    rank, place = np.empty(m, np.int64), np.empty(m, np.int64)
-    by_left = np.array(sorted(range(m), key=flipped.__getitem__))
-    rank[by_left], place[by_right] = np.arange(m), np.arange(m)
-    left_lcp, right_lcp = common_prefix(left[by_left]), common_prefix(right[by_right])
-    for length, a, z in interval_tree(right_lcp):
-        r = np.sort(rank[by_right[a:z]])
-        # least common prefix between neighbours in left order, over the members that are left out between them
-        gap = np.minimum.reduceat(left_lcp, r[:-1]) if r[-1] == m - 1 else np.minimum.reduceat(left_lcp, r)[:-1]
-        if gap.max(initial=0) + length < size:
-            continue
-        who = by_left[r]
-        child = np.concatenate([[0], np.cumsum(right_lcp[a : z - 1] == length)])[place[who] - a]
-        shared = gap + length >= size
-        for depth, x, y in interval_tree(np.where(shared, gap, 0)):
+    of = Members(contexts, lefts, size)
+    place = np.empty(of.m, np.int64)
+    place[of.by_right] = np.arange(of.m)
+    for length, a, z, who, gap in of.intervals():
+        child = np.concatenate([[0], np.cumsum(of.right_lcp[a : z - 1] == length)])[place[who] - a]
+        for depth, x, y in interval_tree(np.where(gap + length >= size, gap, 0)):
             if child[x:y].min() != child[x:y].max():
                 yield depth, length, who[x:y].tolist()
         if length >= size and gap.min() == 0:  # their left bytes differ: the repeat begins at the anchor
             yield 0, length, who.tolist()
 
 
-def reaching(groups: Iterator[tuple[int, int, list[int]]], m: int) -> list[list[tuple[int, int]]]:
-    """Of each member the (left, right) of its groups, without those inside another one."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(m)]
-    for left, right, members in groups:
-        for i in members:
-            if not any(x >= left and y >= right for x, y in out[i]):
-                out[i] = [(x, y) for x, y in out[i] if x > left or y > right] + [(left, right)]
+def widest_repeats(contexts: list[bytes], lefts: list[int], size: int) -> list[list[tuple[int, int]]]:
+    """Of each member the (left, right) of the maximal repeats that it is in, without those inside another one: in an
+    interval its deepest group is what it shares with a neighbour in left order, so no group is put together."""
+    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
+    if len(contexts) == 2:
+        left, right = shared_by_two(contexts, lefts)
+        return [[(left, right)]] * 2 if left + right >= size else out
+    of = Members(contexts, lefts, size)
+    best = np.full(of.m, -1)  # of each member, the left reach already given with a longer right one
+    for length, _, _, who, gap in of.intervals():
+        reach = np.maximum(np.concatenate([[0], gap]), np.concatenate([gap, [0]]))
+        new = (reach + length >= size) & (reach > best[who])
+        for i, v in zip(who[new].tolist(), reach[new].tolist()):
+            out[i].append((v, length))
+        best[who[new]] = reach[new]
     return out
 
 
@@ -281,15 +306,15 @@ def scanned(contexts: DataFrame, size: int, repeats: bool) -> DataFrame:
             return
         names, held = list(rows), list(rows.values())
         texts, lefts = [c for c, _, _ in held], [v for _, v, _ in held]
-        found = maximal_repeats(texts, lefts, size) if len(names) > 1 else iter(())
         if repeats:
+            found = maximal_repeats(texts, lefts, size) if len(names) > 1 else ()
             whole = [(v, len(c) - v, [i]) for i, (c, v, often) in enumerate(held) if often > 1 and len(c) >= size]  # a member of several is a group
             for left, right, members in [*found, *whole]:
                 one = members[0]
                 string = int.from_bytes(hashlib.blake2b(texts[one][lefts[one] - left : lefts[one] + right], digest_size=8).digest(), "big", signed=True)
                 yield from ((*names[i], left, right, string) for i in members)
         else:
-            for name, (_, _, often), reach in zip(names, held, reaching(found, len(names))):
+            for name, (_, _, often), reach in zip(names, held, widest_repeats(texts, lefts, size)):
                 if often == 1:
                     yield from ((*name, left, right, 0) for left, right in reach)
 
@@ -314,16 +339,16 @@ def scanned(contexts: DataFrame, size: int, repeats: bool) -> DataFrame:
 
 def dealt_again(contexts: DataFrame, size: int, most: int, repeats: bool) -> DataFrame:
     """As scanned, for anchors with more than `most` members. A row stands for the windows that begin lo to hi bytes left
-    of its anchor; each turn halves that range."""
+    of its anchor; each turn cuts that range into PARTS."""
     rows = written(contexts.dropDuplicates(["anchor", "around"]).withColumns({"lo": F.lit(0), "hi": F.lit(size - K)}), "large")
     out = None
     while not rows.isEmpty():
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        half = F.explode(F.array(F.struct(F.col("lo").alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), F.col("hi").alias("hi"))))
-        halves = rows.withColumn("half", half).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi")}).drop("half")
+        cut = lambda i: (F.col("lo") + F.floor((F.col("hi") + 1 - F.col("lo")) * i / PARTS)).cast("int")
+        part = F.explode(F.array(*(F.struct(cut(i).alias("lo"), (cut(i + 1) - 1).alias("hi")) for i in range(PARTS))))
+        parts = rows.withColumn("part", part).withColumns({"lo": F.col("part.lo"), "hi": F.col("part.hi")}).drop("part").filter("lo <= hi")
         fits = (F.col("left") >= F.col("lo")) & (F.octet_length("bytes") - F.col("left") >= size - F.col("hi"))
         core = F.md5(F.substring("bytes", F.col("left") - F.col("lo") + 1, F.col("lo") + size - F.col("hi")))
-        dealt = written(halves.filter(fits).withColumn("core", core).withColumn("piece", F.xxhash64("piece", "lo", "core")), "halves")
+        dealt = written(parts.filter(fits).withColumn("core", core).withColumn("piece", F.xxhash64("piece", "lo", "core")), "parts")
         forget(rows)
         told = dealt.join(dealt.groupBy("piece", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), ["piece", "core"])
         alone = F.col("lo") == F.col("hi")
