@@ -11,7 +11,8 @@ repeated lines, ordered by seq and then text; an empty table gives an empty one;
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -74,6 +75,48 @@ class Hmm:
         return path[::-1]
 
 
+class Decoder:
+    """Viterbi over lines as they come, on the same scores as Hmm.viterbi: whenever the best paths to all states have a
+    common beginning, the lines of it are decided and need not be held."""
+
+    def __init__(self, model: Hmm, every: int = 500):
+        self.model, self.every = model, every
+        self.score, self.back, self.held = None, [], []
+
+    def feed(self, obs: int, line: tuple) -> list[tuple[int, tuple]]:
+        """The lines that are decided by now, in order, with their states."""
+        if self.score is None:
+            self.score = self.model.start + self.model.emit[:, obs]
+        else:
+            reach = self.score[:, None] + self.model.turn
+            self.back.append(reach.argmax(0))
+            self.score = reach.max(0) + self.model.emit[:, obs]
+        self.held.append(line)
+        return self.decided() if len(self.held) % self.every == 0 else []
+
+    def decided(self) -> list[tuple[int, tuple]]:
+        alive = set(range(len(STATES)))
+        for t in range(len(self.back) - 1, -1, -1):
+            alive = {int(self.back[t][s]) for s in alive}
+            if len(alive) == 1:
+                out = self.path(alive.pop(), t)
+                self.back, self.held = self.back[t + 1 :], self.held[t + 1 :]
+                return out
+        return []
+
+    def path(self, state: int, t: int) -> list[tuple[int, tuple]]:
+        """Of the held lines 0 to t, if the last has this state."""
+        states = [state]
+        for k in range(t - 1, -1, -1):
+            states.append(int(self.back[k][states[-1]]))
+        return list(zip(states[::-1], self.held[: t + 1]))
+
+    def finish(self) -> list[tuple[int, tuple]]:
+        out = self.path(int(self.score.argmax()), len(self.held) - 1) if self.held else []
+        self.score, self.back, self.held = None, [], []
+        return out
+
+
 def split_lines(chunks: list[str]) -> tuple[list[int], list[tuple[list[str], str, str]], list[int], list[str]]:
     """(observations, (blank lines before, raw line, line without its marker) of each, chunk of each, blank lines after
     the last); blank lines are not observed, they only mark what follows them."""
@@ -92,25 +135,41 @@ def split_lines(chunks: list[str]) -> tuple[list[int], list[tuple[list[str], str
     return obs, lines, of, blanks
 
 
+def turns(chunks: Iterable[str], model: Hmm, every: int = 500) -> Iterator[tuple[str, str]]:
+    """Turns (role, text) of one transcript, with their blank lines, as soon as they are decided: lines and turns that are
+    are not held. A marker goes only where a turn begins; without one, the blank line before a turn is its mark and goes."""
+    decoder, role, text, blanks, some = Decoder(model, every), None, [], [], False
+
+    def told(decided: list) -> Iterator[tuple[str, str]]:
+        nonlocal role, text
+        for s, (before, line, rest) in decided:
+            now, later = STATES[s]
+            if later and role is not None:
+                text += [*before, line]
+                continue
+            if rest == line:
+                before = before[:-1]
+            if role is not None:
+                yield ROLES[role], "\n".join([*text, *before])
+                before = []
+            role, text = now, [*before, rest]
+
+    for c in chunks:
+        for line in (c or "").split("\n"):
+            if not line.strip():
+                blanks.append(line)
+                continue
+            o, rest = observe(line, not some or bool(blanks))
+            yield from told(decoder.feed(o, (blanks, line, rest)))
+            some, blanks = True, []
+    yield from told(decoder.finish())
+    if role is not None:
+        yield ROLES[role], "\n".join([*text, *blanks])
+
+
 def parse(chunks: list[str], model: Hmm) -> list[tuple[str, str]]:
-    """Turns (role, text) of one transcript, with their blank lines. A marker goes only where a turn begins; without one,
-    the blank line before a turn is its mark and goes."""
-    obs, lines, _, after = split_lines(chunks)
-    turns: list[tuple[str, list[str]]] = []
-    for s, (blanks, line, rest) in zip(model.viterbi(obs), lines):
-        role, later = STATES[s]
-        if later and turns:
-            turns[-1][1].extend([*blanks, line])
-            continue
-        if rest == line:
-            blanks = blanks[:-1]
-        if turns:
-            turns[-1][1].extend(blanks)
-            blanks = []
-        turns.append((ROLES[role], [*blanks, rest]))
-    if turns:
-        turns[-1][1].extend(after)
-    return [(r, "\n".join(x)) for r, x in turns]
+    """All turns of one transcript."""
+    return list(turns(chunks, model))
 
 
 def learn(known: DataFrame, marked: Column, max_rows: int = 20_000) -> Hmm:
@@ -133,26 +192,26 @@ def learn(known: DataFrame, marked: Column, max_rows: int = 20_000) -> Hmm:
 def format_chats(transcripts: DataFrame, model: Hmm) -> DataFrame:
     """transcripts (id, seq, text): chunks of raw text in order. Gives (id, turn, role, text, rendered).
 
-    A transcript's chunks are sorted by Spark and pass through once; a task holds one transcript."""
+    A transcript's chunks are sorted by Spark and pass through one task once: a chain is decoded in order. The task holds
+    the lines that are not decided and the turn that goes on, not the transcript."""
     ship(transcripts.sparkSession)
     kind = transcripts.schema["id"].dataType.simpleString()
+    columns = ["id", "turn", "role", "text", "rendered"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def finish() -> list:
-            return [(now, i, r, t, f"<|{r}|>\n{t}<|end|>") for i, (r, t) in enumerate(parse(chunks, model))]
-
-        now, chunks, out = None, [], []
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for b in batches:
-            for i, t in zip(b["id"].astype(object).where(b["id"].notna(), None), b["text"]):
-                if i != now:
-                    out += finish()
-                    now, chunks = i, []
-                chunks.append(t)
-            if out:
-                yield pd.DataFrame(out, columns=["id", "turn", "role", "text", "rendered"])
-                out = []
-        out = finish()
+            yield from zip(b["id"].astype(object).where(b["id"].notna(), None), b["text"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for now, group in groupby(rows(batches), key=lambda r: r[0]):
+            for i, (r, t) in enumerate(turns((t for _, t in group), model)):
+                out.append((now, i, r, t, f"<|{r}|>\n{t}<|end|>"))
+                size += len(t)
+                if size > 1 << 20 or len(out) == 1000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, size = [], 0
         if out:
-            yield pd.DataFrame(out, columns=["id", "turn", "role", "text", "rendered"])
+            yield pd.DataFrame(out, columns=columns)
 
     return transcripts.select("id", "seq", "text").repartition("id").sortWithinPartitions("id", "seq", "text").mapInPandas(run, f"id {kind}, turn long, role string, text string, rendered string")
