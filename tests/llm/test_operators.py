@@ -355,14 +355,17 @@ def test_maximal_repeats(seed):
         a, z = int(r.integers(0, 20)), int(r.integers(0, 20))
         members[bytes(c[a : 100 - z])] = left - a
     contexts, lefts = list(members), list(members.values())
-    pairs = {}
+    pairs, widest = {}, [set() for _ in contexts]
     for left, right, group in substrings.maximal_repeats(contexts, lefts, size):
+        for i in group:
+            widest[i] = {w for w in widest[i] if w[0] > left or w[1] > right} | ({(left, right)} if not any(x >= left and y >= right for x, y in widest[i]) else set())
         assert left + right >= size and len({contexts[i][lefts[i] - left : lefts[i] + right] for i in group}) == 1
         ends = [(contexts[i][lefts[i] - left - 1 : lefts[i] - left] if lefts[i] > left else i, contexts[i][lefts[i] + right : lefts[i] + right + 1] or i) for i in group]
         assert len({a for a, _ in ends}) > 1 and (len({z for _, z in ends}) > 1 or right == size)
         for i in group:
             for j in group:
                 pairs.setdefault((i, j), set()).add((left, right))
+    assert [set(x) for x in substrings.widest_repeats(contexts, lefts, size)] == widest
     for i in range(len(contexts)):
         for j in range(i):
             left = substrings.common_to(contexts[i][: lefts[i]][::-1], contexts[j][: lefts[j]][::-1])
@@ -444,6 +447,21 @@ def test_viterbi_by_enumeration(seed):
     assert np.isclose(score(model.viterbi(obs)), max(map(score, product(range(n), repeat=4)))) and model.viterbi([]) == []
 
 
+@pytest.mark.parametrize("every", [1, 3, 500])
+def test_decoding_as_lines_come(every):
+    """The decoder gives Viterbi's path, whenever it decides, and does not hold what is decided."""
+    r = np.random.default_rng(every)
+    n, most = len(chat.STATES), 0
+    model = chat.Hmm(*(np.log(r.dirichlet(np.ones(k), m)) for k, m in ((n, None), (n, n), (chat.OBS, n))))
+    obs = r.integers(0, chat.OBS, 2000).tolist()
+    decoder, got = chat.Decoder(model, every), []
+    for i, o in enumerate(obs):
+        got += decoder.feed(o, (i,))
+        most = max(most, len(decoder.held))
+    got += decoder.finish()
+    assert [s for s, _ in got] == model.viterbi(obs) and [i for _, (i,) in got] == list(range(2000)) and most < every + 200
+
+
 def test_chats_held_out(spark):
     """Roles and whole texts of transcripts that the model has not seen."""
     known = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select(F.col("conv_id").alias("id"), F.col("turn").alias("seq"), "role", "text")
@@ -514,3 +532,25 @@ def test_pipeline(spark):
         g = g.sort_values("piece")
         assert list(g.start) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(ids[d])
         assert [zlib.crc32(ids[d][a : a + n].tobytes()) for a, n in zip(g.start, g.length)] == list(g.ids_crc32)
+
+
+def test_pipeline_of_odd_rows(spark, docs):
+    """Every stage over nulls, empty and long texts, repeated rows and clashing names, and over no rows at all."""
+    import corpus_pipeline
+
+    df = docs[0].unionByName(docs[0].filter("doc_id >= 900006").withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, D)
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+        assert stage(spark, empty(spark), D).count() == 0, name
+        if stage is corpus_pipeline.sanitised:
+            assert len(kept) == len(rows) and sum(t is None for _, t in kept) == sum(t is None for _, t in rows)
+        else:
+            assert not set(kept) - set(rows)
+        if stage is corpus_pipeline.distinct_enough:
+            assert {(d, t) for d, t in kept if not (t or "").strip()} == {(900001, None), (900002, ""), (900003, " \n\t ")} and len(kept) == len(set(kept))
+            assert sum(t == "a" * 450 for _, t in kept) == 1 and not any(d is None and t == "a" * 450 for d, t in kept)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, df, D).toPandas()
+    assert pieces.length.sum() == sum(map(len, encoded(rows))) and corpus_pipeline.STAGES[-1][1](spark, empty(spark), D).count() == 0
