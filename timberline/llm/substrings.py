@@ -271,15 +271,16 @@ def widest_repeats(contexts: list[bytes], lefts: list[int], size: int) -> list[l
     return out
 
 
-CONTEXT = "piece long, anchor long, around long, often long, left int, bytes binary"
+CONTEXT = "piece long, anchor long, around long, often long, kinds long, left int, bytes binary"
+SCANNED = ["piece", "anchor", "around", "often", "left", "bytes"]
 REACH = pa.schema([("anchor", pa.int64()), ("around", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("repeat", pa.int64())])
 
 
 def contexts_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """CONTEXT of members (anchor, around, often, h, n, pos): the bytes around one occurrence of each. Texts move once, and
+    """CONTEXT of members (anchor, around, often, kinds, h, n, pos): the bytes around one occurrence of each. Texts move once, and
     of neighbouring copies of a text one is read."""
     text = docs.select(*text_key(), F.encode(text_of(), "UTF-8").alias("b")).filter(F.col("n") >= size)
-    asked = members.groupBy("h", "n").agg(F.collect_list(F.struct("pos", "anchor", "around", "often")).alias("at"))
+    asked = members.groupBy("h", "n").agg(F.collect_list(F.struct("pos", "anchor", "around", "often", "kinds")).alias("at"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -291,7 +292,7 @@ def contexts_of(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
                 for k in range(0, len(rows), 5000):
                     part = rows[k : k + 5000]
                     left = [min(x["pos"], size - K) for x in part]
-                    yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in part], pa.int64()) for c in ("anchor", "anchor", "around", "often")), pa.array(left, pa.int32()), pa.array([b[x["pos"] - v : x["pos"] + size] for x, v in zip(part, left)], pa.binary())], names=["piece", "anchor", "around", "often", "left", "bytes"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in part], pa.int64()) for c in ("anchor", "anchor", "around", "often", "kinds")), pa.array(left, pa.int32()), pa.array([b[x["pos"] - v : x["pos"] + size] for x, v in zip(part, left)], pa.binary())], names=["piece", "anchor", "around", "often", "kinds", "left", "bytes"])
 
     return text.join(asked, ["h", "n"]).select("h", "n", "b", "at").mapInArrow(gather, CONTEXT)
 
@@ -334,33 +335,36 @@ def scanned(contexts: DataFrame, size: int, repeats: bool) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return contexts.repartition("piece").sortWithinPartitions("piece", "anchor", "around").mapInArrow(run, "anchor long, around long, l int, r int, repeat long")
+    return contexts.select(*SCANNED).repartition("piece").sortWithinPartitions("piece", "anchor", "around").mapInArrow(run, "anchor long, around long, l int, r int, repeat long")
 
 
-def dealt_again(contexts: DataFrame, size: int, most: int, repeats: bool) -> DataFrame:
-    """As scanned, for anchors with more than `most` members. A row stands for the windows that begin lo to hi bytes left
-    of its anchor; each turn cuts that range into PARTS."""
-    rows = written(contexts.dropDuplicates(["anchor", "around"]).withColumns({"lo": F.lit(0), "hi": F.lit(size - K)}), "large")
+def dealt_again(large: DataFrame, size: int, most: int, repeats: bool) -> DataFrame:
+    """As scanned, for the contexts of anchors with more than `most` members. A row stands for the windows that begin lo to
+    hi bytes left of its anchor; each turn cuts that range into PARTS, and counts who shares a part by its hash alone:
+    bytes move only with those that do."""
+    context = large.select("anchor", "around", "often", "left", "bytes").dropDuplicates(["anchor", "around"])
+    rows = context.withColumns({"piece": F.col("anchor"), "lo": F.lit(0), "hi": F.lit(size - K)})
     out = None
-    while not rows.isEmpty():
+    while True:
         cut = lambda i: (F.col("lo") + F.floor((F.col("hi") + 1 - F.col("lo")) * i / PARTS)).cast("int")
-        part = F.explode(F.array(*(F.struct(cut(i).alias("lo"), (cut(i + 1) - 1).alias("hi")) for i in range(PARTS))))
-        parts = rows.withColumn("part", part).withColumns({"lo": F.col("part.lo"), "hi": F.col("part.hi")}).drop("part").filter("lo <= hi")
-        fits = (F.col("left") >= F.col("lo")) & (F.octet_length("bytes") - F.col("left") >= size - F.col("hi"))
-        core = F.md5(F.substring("bytes", F.col("left") - F.col("lo") + 1, F.col("lo") + size - F.col("hi")))
-        dealt = written(parts.filter(fits).withColumn("core", core).withColumn("piece", F.xxhash64("piece", "lo", "core")), "parts")
-        forget(rows)
-        told = dealt.join(dealt.groupBy("piece", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), ["piece", "core"])
+        ranges = F.array(*(F.struct(cut(i).alias("lo"), (cut(i + 1) - 1).alias("hi")) for i in range(PARTS)))
+        fits = lambda p: (p["lo"] <= p["hi"]) & (F.col("left") >= p["lo"]) & (F.octet_length("bytes") - F.col("left") >= size - p["hi"])
+        core = lambda p: F.unhex(F.md5(F.substring("bytes", F.col("left") - p["lo"] + 1, p["lo"] + size - p["hi"])))
+        parts = F.transform(F.filter(ranges, fits), lambda p: F.struct(p["lo"].alias("lo"), p["hi"].alias("hi"), core(p).alias("core")))
+        keys = written(rows.select("piece", "anchor", "around", F.explode(parts).alias("p")).select(F.xxhash64("piece", "p.lo", "p.core").alias("piece"), "p.core", "anchor", "around", "p.lo", "p.hi"), "parts")
+        sizes = keys.groupBy("piece", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+        told = written(keys.join(sizes, ["piece", "core"]), "shared")
+        forget(keys)
         alone = F.col("lo") == F.col("hi")
         # a piece of one place is a window: all its members are a group
         group = told.filter(alone).select("anchor", "around", F.col("lo").alias("l"), (F.lit(size) - F.col("lo")).cast("int").alias("r"), F.xxhash64("core").alias("repeat"))
-        few = scanned(told.filter(~alone & (F.col("kinds") <= most)).select("piece", "anchor", "around", "often", "left", "bytes"), size, repeats)
-        found = written(group.unionByName(few), "found")
+        few = told.filter(~alone & (F.col("kinds") <= most)).select("piece", "anchor", "around")
+        found = group.unionByName(scanned(few.join(context, ["anchor", "around"]), size, repeats))
         out = found if out is None else out.unionByName(found)
-        rows = written(told.filter(~alone & (F.col("kinds") > most)).drop("kinds", "core"), "large")
-        forget(dealt)
-    forget(rows)
-    return out
+        many = told.filter(~alone & (F.col("kinds") > most)).select("piece", "anchor", "around", "lo", "hi")
+        if many.isEmpty():
+            return out
+        rows = many.join(context, ["anchor", "around"])
 
 
 def reaches(docs: DataFrame, known: DataFrame, size: int, most: int, repeats: bool) -> DataFrame:
@@ -374,12 +378,13 @@ def reaches(docs: DataFrame, known: DataFrame, size: int, most: int, repeats: bo
         leaves = leaves.join(groups, "anchor", "left_anti")
     left, right = F.least("pos", F.lit(size - K)), F.least(F.col("n") - F.col("pos"), F.lit(size))
     reach = [leaves.filter(left + right >= size).select("anchor", "around", left.alias("l"), right.alias("r"), F.xxhash64("anchor", "around").alias("repeat"))]
-    reach.append(scanned(contexts_of(docs, members.filter(F.col("kinds") <= most), size), size, repeats))
-    large = members.filter(F.col("kinds") > most)
+    contexts = written(contexts_of(docs, members, size), "contexts")
+    reach.append(scanned(contexts.filter(F.col("kinds") <= most), size, repeats))
+    large = contexts.filter(F.col("kinds") > most)
     if not large.isEmpty():
-        reach.append(dealt_again(contexts_of(docs, large, size), size, most, repeats))
+        reach.append(dealt_again(large, size, most, repeats))
     out = written(reduce(DataFrame.unionByName, reach), "reach")
-    forget(kinds)
+    forget(kinds, contexts)
     return out
 
 
