@@ -234,6 +234,44 @@ def test_media(spark, docs):
     assert [(r.caption, r.position, r.payload_bytes) for r in got if r.id == 800002] == [("b", 1, None)]
 
 
+def test_pages_in_order(spark):
+    """Texts of whole pages in order against a plain reading, and figures between them with their captions."""
+    import html as entities
+    import re
+
+    tags = "|".join(sorted(media.BLOCKS, key=len, reverse=True))
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        bare = re.sub(r"(?is)<(script|style)\b.*?</\1>", "", re.sub(r"(?s)<!.*?>", "", re.sub(r"(?s)<!--.*?-->", "", r.html)))
+        lines = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(rf"(?i)</?(?:{tags})\b[^>]*>", bare)]
+        got = media.items(r.html)
+        assert [x["text"] for x in got] == [x for x in lines if x] and [x["position"] for x in got] == list(range(len(got)))
+    page = "<p>one</p><figure><img src='sha256:aa'><img src='b.png' alt='old'><figcaption>two <b>of</b> them</figcaption></figure>three<img src='c.png' alt='four'><p>five"
+    assert [(x["kind"], x["text"] or x["caption"]) for x in media.items(page)] == [("text", "one"), ("media", "two of them"), ("media", "two of them"), ("text", "three"), ("media", "four"), ("text", "five")]
+
+
+def test_media_query(spark, docs, tmp_path):
+    """The registered query over nulls, copies and repeated rows, with pages and without, against plain Python."""
+    df = docs[0].unionByName(docs[0].filter("doc_id = 900009").withColumn("doc_id", F.lit(None).cast("long")))
+    want = []
+    for d, t in [(r.doc_id, r.text) for r in df.collect()]:
+        b = (t or "").encode()
+        padded = b + bytes(-len(b) % 64 or (0 if b else 64))
+        image = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
+        a = np.frombuffer(padded, np.uint8).astype(float)
+        steps = np.abs(a[64:] - a[:-64]).mean() if len(a) > 64 else 0.0
+        n = np.bincount(a.astype(int)) / len(a)
+        near = (a.mean(), a.std(), -(n[n > 0] * np.log2(n[n > 0])).sum(), steps)
+        want.append((d or 0, len(b), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(image), hashlib.sha256(image).hexdigest(), near))
+    for pages in (spark.read.parquet(f"{D}/pages.parquet"), spark.createDataFrame([], "page_id long, url string, html string")):
+        at = str(tmp_path / f"{pages.count()}")
+        df.write.parquet(f"{at}/documents.parquet"), pages.write.parquet(f"{at}/pages.parquet")
+        got = sorted((r.doc_id or 0, *r[1:]) for r in queries.op7_media_sequence(spark, at).collect())
+        assert [g[:7] for g in got] == [w[:7] for w in sorted(want)]
+        assert all(np.allclose([int(x.split("=")[1]) / 1000 for x in g[7].split(";")], w[7], atol=0.00051) for g, w in zip(got, sorted(want)))
+    empty(spark).write.parquet(str(tmp_path / "none/documents.parquet")), pages.write.parquet(str(tmp_path / "none/pages.parquet"))
+    assert queries.op7_media_sequence(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_near_duplicates(spark, docs):
     base = docs[1][1][1].split()
     rows = docs[1] + [(910000 + i, " ".join(base[:i] + ["edited"] + base[i + 1 :])) for i in range(0, 40, 4)]

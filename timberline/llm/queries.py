@@ -62,7 +62,8 @@ def shown_on_pages(shown: DataFrame, pages: DataFrame, most: int = 64) -> DataFr
     sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("in_group"))
     dealt = shown.withColumn("at", F.xxhash64("doc_id", "digest")).withColumn("g", group("at")).join(sizes, "g", "left")
     dealt = dealt.withColumn("k", F.pmod(F.xxhash64("at", F.lit(1)), F.coalesce("in_group", F.lit(1)))).withColumn("part", F.pmod(F.xxhash64("at", F.lit(2)), F.lit(parts)))
-    figure = F.concat(F.lit("<p>figure</p><figure><img src=\"sha256:"), "digest", F.lit("\"><figcaption>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    caption = F.replace(F.replace(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    figure = F.concat(F.lit("<p>figure</p><figure><img src=\"sha256:"), "digest", F.lit("\"><figcaption>"), caption, F.lit("</figcaption></figure>"))
     figures = dealt.groupBy("g", "k", "part").agg(F.array_join(F.collect_list(figure), "").alias("figures")).join(known, ["g", "k"], "left")
     return figures.join(pages.select("page_id", "html"), "page_id", "left").select(F.xxhash64("g", "k", "part").alias("id"), F.concat("figures", F.coalesce("html", F.lit(""))).alias("html"))
 
