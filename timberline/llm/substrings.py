@@ -340,30 +340,35 @@ def scanned(contexts: DataFrame, size: int, repeats: bool) -> DataFrame:
 
 def dealt_again(large: DataFrame, size: int, most: int, repeats: bool) -> DataFrame:
     """As scanned, for the contexts of anchors with more than `most` members. A row stands for the windows that begin lo to
-    hi bytes left of its anchor; each turn cuts that range into PARTS, and counts who shares a part by its hash alone:
-    bytes move only with those that do."""
+    hi bytes left of its anchor; each turn cuts that range into PARTS. Windows of a part share its core, and members are
+    counted by the hash of that alone. Members that are equal wherever the part's windows reach, its hull, are repeated
+    all over it; one of them goes on, for others to meet (all do where groups are asked for)."""
     context = large.select("anchor", "around", "often", "left", "bytes").dropDuplicates(["anchor", "around"])
-    rows = context.withColumns({"piece": F.col("anchor"), "lo": F.lit(0), "hi": F.lit(size - K)})
-    out = None
+    rows, out = context.withColumns({"piece": F.col("anchor"), "lo": F.lit(0), "hi": F.lit(size - K)}), []
     while True:
         cut = lambda i: (F.col("lo") + F.floor((F.col("hi") + 1 - F.col("lo")) * i / PARTS)).cast("int")
         ranges = F.array(*(F.struct(cut(i).alias("lo"), (cut(i + 1) - 1).alias("hi")) for i in range(PARTS)))
-        fits = lambda p: (p["lo"] <= p["hi"]) & (F.col("left") >= p["lo"]) & (F.octet_length("bytes") - F.col("left") >= size - p["hi"])
-        core = lambda p: F.unhex(F.md5(F.substring("bytes", F.col("left") - p["lo"] + 1, p["lo"] + size - p["hi"])))
-        parts = F.transform(F.filter(ranges, fits), lambda p: F.struct(p["lo"].alias("lo"), p["hi"].alias("hi"), core(p).alias("core")))
-        keys = written(rows.select("piece", "anchor", "around", F.explode(parts).alias("p")).select(F.xxhash64("piece", "p.lo", "p.core").alias("piece"), "p.core", "anchor", "around", "p.lo", "p.hi"), "parts")
-        sizes = keys.groupBy("piece", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        told = written(keys.join(sizes, ["piece", "core"]), "shared")
+        reach = lambda left, right: (F.col("left") >= left) & (F.octet_length("bytes") - F.col("left") >= right)
+        digest = lambda left, right: F.unhex(F.md5(F.substring("bytes", F.col("left") - left + 1, left + right)))
+        fits = lambda p: (p["lo"] <= p["hi"]) & reach(p["lo"], size - p["hi"])
+        hull = lambda p: F.when(reach(p["hi"], size - p["lo"]), digest(p["hi"], size - p["lo"]))
+        parts = F.transform(F.filter(ranges, fits), lambda p: F.struct(p["lo"].alias("lo"), p["hi"].alias("hi"), digest(p["lo"], size - p["hi"]).alias("core"), hull(p).alias("hull")))
+        keys = written(rows.select("piece", "anchor", "around", F.explode(parts).alias("p")).select(F.xxhash64("piece", "p.lo", "p.core").alias("piece"), "p.core", "p.hull", "anchor", "around", "p.lo", "p.hi"), "parts")
+        met = keys.join(keys.groupBy("piece", "core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), ["piece", "core"])
+        alike = keys.filter("hull is not null").groupBy("piece", "hull").agg(F.count(F.lit(1)).alias("equal"), F.min(F.struct("anchor", "around")).alias("one")).filter("equal > 1")
+        told = written(met.join(alike, ["piece", "hull"], "left"), "shared")
         forget(keys)
         alone = F.col("lo") == F.col("hi")
-        # a piece of one place is a window: all its members are a group
-        group = told.filter(alone).select("anchor", "around", F.col("lo").alias("l"), (F.lit(size) - F.col("lo")).cast("int").alias("r"), F.xxhash64("core").alias("repeat"))
-        few = told.filter(~alone & (F.col("kinds") <= most)).select("piece", "anchor", "around")
-        found = group.unionByName(scanned(few.join(context, ["anchor", "around"]), size, repeats))
-        out = found if out is None else out.unionByName(found)
-        many = told.filter(~alone & (F.col("kinds") > most)).select("piece", "anchor", "around", "lo", "hi")
+        # at one place core and hull are the window
+        group = told.filter(alone if repeats else F.col("equal") > 1).select("anchor", "around", F.col("hi").alias("l"), (F.lit(size) - F.col("lo")).cast("int").alias("r"), F.xxhash64("core").alias("repeat"))
+        goes_on = ~alone if repeats else ~alone & (F.col("equal").isNull() | (F.struct("anchor", "around") == F.col("one")))
+        left = told.filter(goes_on).select("piece", "anchor", "around", "lo", "hi")
+        left = left.join(left.groupBy("piece").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "piece")
+        few = left.filter(F.col("kinds") <= most).select("piece", "anchor", "around")
+        out += [group, scanned(few.join(context, ["anchor", "around"]), size, repeats)]
+        many = left.filter(F.col("kinds") > most).drop("kinds")
         if many.isEmpty():
-            return out
+            return reduce(DataFrame.unionByName, out)
         rows = many.join(context, ["anchor", "around"])
 
 
@@ -388,7 +393,7 @@ def reaches(docs: DataFrame, known: DataFrame, size: int, most: int, repeats: bo
     return out
 
 
-def repeats(docs: DataFrame, size: int = 200, most: int = 4000) -> DataFrame:
+def repeats(docs: DataFrame, size: int = 200, most: int = 20_000) -> DataFrame:
     """(h, n, spans): of each text with repeated passages, the array of (start, end) to remove, not merged."""
     known = written(all_anchors(docs, size), "anchors")
     reach = reaches(docs, known, size, most, False)
@@ -399,7 +404,7 @@ def repeats(docs: DataFrame, size: int = 200, most: int = 4000) -> DataFrame:
     return out
 
 
-def repeat_groups(docs: DataFrame, size: int = 200, most: int = 4000) -> DataFrame:
+def repeat_groups(docs: DataFrame, size: int = 200, most: int = 20_000) -> DataFrame:
     """(repeat, length, h, n, start): every occurrence of every maximal repeat of `size` bytes or more, a row each; repeat
     names its string by hash, h and n the text as in text_key. A repeat that is longer than an anchor's surroundings is
     given in pieces, one for each anchor in it."""
