@@ -140,6 +140,46 @@ def test_tokens(spark, docs):
     assert tokens.token_files(empty(spark)).count() == 0
 
 
+ODD = ["", " ", "a  b\n\n c \t d ", "x ,y (z), a.b-c_d's don't we'LL", "日本 語、 と", "é\u00a0 x\u2028 y\u3000 z", "a × b ÷c ×,d", "\x1c \x00 \x7f .", "n\u0301 ,o ªº. ²,½ 12,345.6", "😀 😀, 𝐀 ,", "q" * 300 + " r", "\n end\n", "a,\nb. \nc"]
+
+
+def test_encoder_cuts():
+    """White space in a row, marks and other scripts give the library's ids, and it is asked once for a piece."""
+    encode = tokens.Encoder(tokens.default_vocabulary())
+    short = [t for t in ODD if len(t) < 100]
+    assert encode(ODD) == encode.whole(ODD) and encode([]) == []
+    held = [t + "<|endoftext|>" + t for t in ODD]
+    assert encode(held) == encode.whole(held)
+    want = encode.whole(short)
+    encode.tok = encode.model = None
+    assert encode(short * 2) == want * 2
+
+
+def test_encoder_beyond_its_bounds(monkeypatch):
+    """Few kept pieces, many steps, and a tokenizer that is not byte-level BPE."""
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "MOST", 5)
+    monkeypatch.setattr(tokens, "STEP", 3)
+    encode = tokens.Encoder(tokens.default_vocabulary())
+    assert [encode(ODD) for _ in range(3)] == [encode.whole(ODD)] * 3 and len(encode.kept) == 5
+    other = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other(ODD) == other.whole(ODD)
+
+
+def test_chunks():
+    """Parts do not end where batches do, and long batches are cut."""
+    import pyarrow as pa
+
+    rows = [(i, None if i % 5 == 0 else "x" * i) for i in range(40)]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in rows[a:z]], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) for a, z in ((0, 3), (3, 3), (3, 30), (30, 40))]
+    for size in (1, 30, 10_000):
+        parts = list(tokens.chunks(batches, size))
+        assert [(d, t) for ids, texts in parts for d, t in zip(ids.to_pylist(), texts, strict=True)] == [(d, t or "") for d, t in rows]
+        assert all(sum(map(len, texts[:-1])) < size for _, texts in parts)
+    assert len(parts) == 1 and list(tokens.chunks([])) == list(tokens.chunks(batches[1:2])) == []
+
+
 def test_packing(spark, docs):
     got = packing.pack(docs[0]).toPandas()
     total = sum(map(len, encoded(docs[1])))

@@ -195,21 +195,20 @@ def pieces(docs: DataFrame, vocabulary: str, room: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        for b in batches:
-            for at, texts in chunks(b, 1):
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encode(texts)):
-                    ids += END
-                    n, a, k = len(ids) // 4, 0, 0
-                    while a < n:
-                        z = min(n, a + ((n - 1) % room + 1 if k == 0 else room))
-                        row.append(at + i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(z - a)
-                        crc.append(zlib.crc32(ids[4 * a : 4 * z]))
-                        a, k = z, k + 1
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for doc_ids, texts in chunks(batches):
+            row, piece, start, length, crc = [], [], [], [], []
+            for i, ids in enumerate(encode(texts)):
+                ids += END
+                n, a, k = len(ids) // 4, 0, 0
+                while a < n:
+                    z = min(n, a + ((n - 1) % room + 1 if k == 0 else room))
+                    row.append(i)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(z - a)
+                    crc.append(zlib.crc32(ids[4 * a : 4 * z]))
+                    a, k = z, k + 1
+            yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 

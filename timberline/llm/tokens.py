@@ -11,12 +11,15 @@ text and each keeps a row; an empty table gives no shard; only doc_id and text a
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 from urllib.parse import urlparse
 
 import numpy as np
@@ -28,13 +31,12 @@ from .common import located, scratch, ship
 
 END = b"\0\0\0\0"
 ROWS = 256
-#: In texts of these characters, without two of white space in a row, a space begins a piece whatever stands around it:
-#: byte-level BPE joins one space to what follows and never merges across pieces.
-PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
-DOUBLE = re.compile(r"[\t\n\r ]{2}")
-#: A comma or full stop after anything but a letter or digit may belong to a longer piece.
-MARKS = re.compile("(?<![0-9A-Za-zÀ-ÖØ-öø-ɏ])[,.]")
-MOST = 400_000
+#: Pieces that an encoder keeps, and the bytes of the longest of them.
+MOST, LONGEST = 400_000, 64
+#: Pieces that are looked up at once.
+STEP = 1 << 20
+#: Pieces of one line end and one word or number, each at most once: what the regular expression makes of them is known.
+KNOWN = re.compile("(\n)?( ?(?:[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+))?")
 #: Types of doc_id that files hold as 64-bit numbers; any other is held as a string, in the order of its own type.
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 _workers: dict = {}
@@ -46,67 +48,120 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Kept(dict):
-    """Pieces that are kept; misses go to those of the present call."""
+def table(chars: str) -> np.ndarray:
+    """Whether a byte is one of these ASCII characters."""
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
 
-    extra: dict = {}
 
-    def __missing__(self, word: str) -> bytes:
-        return self.extra[word]
+LETTERS = string.ascii_letters + string.digits
+SPACE, MARK, WORD, SOLID = table(" \n"), table(string.punctuation), table(LETTERS), table(LETTERS + string.punctuation)
+
+
+def byte_names() -> dict[int, str]:
+    """The character that stands for each byte in the tokens of byte-level BPE."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """Where bytes of UTF-8 can be cut so that byte-level BPE makes of the parts what it makes of the whole: before a
+    space or line end after what is no white space, and before a mark after a letter or digit. No piece of its regular
+    expression reaches over such a place, nor looks beyond it. Characters beyond ASCII count as letters or as no white
+    space only in blocks without exceptions; elsewhere nothing is cut."""
+    word, solid = WORD[data], SOLID[data]
+    if (data >= 0x80).any():
+        one, last = data[:-1], data[1:]
+        word[1:] |= ((one >= 0xC4) & (one <= 0xC9)) | ((one == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))  # U+00C0 to U+027F but two marks
+        solid[1:] |= (one >= 0xC3) & (one <= 0xDF)
+        solid[2:] |= data[:-2] >= 0xE4
+        solid[3:] |= data[:-3] >= 0xF0
+    out = np.zeros(len(data), bool)
+    out[1:] = (SPACE[data[1:]] & solid[:-1]) | (MARK[data[1:]] & word[:-1])
+    return out
 
 
 class Encoder:
-    """Encodes with the tokenizers library. Plain texts are cut before single spaces and what the library made of a
-    piece is kept, up to MOST pieces, for later ones; other texts are encoded as they are."""
+    """Encodes with the tokenizers library. For byte-level BPE texts are cut into pieces that the library encodes apart,
+    and what it made of a piece is kept, up to MOST pieces, for later ones. Texts that hold an added token are encoded as
+    they are, and so is every text for any other tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.kept = Tokenizer.from_file(path), Kept()
-        self.begins = np.zeros(self.tok.get_vocab_size(), bool)
-        self.begins[[i for t, i in self.tok.get_vocab().items() if t.startswith("Ġ")]] = True
+        self.tok = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        made = json.loads(self.tok.to_str())
+        before = made["pre_tokenizer"] or {}
+        self.level = made["model"]["type"] == "BPE" and not made["model"].get("dropout") and not any(made[k] for k in ("normalizer", "truncation", "padding", "post_processor"))
+        self.level &= before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True)
+        self.model, self.names = self.tok.model, byte_names()
+        self.kept: dict[bytes, int] = {}
+        self.ids, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)  # of kept pieces, one after another
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of words that each begin with their only space, encoded as long texts: every such piece begins with the one id in
-        it whose token starts with the mark of a space."""
-        out = []
-        for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
-            ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
-            if len(at) != len(part) + 1:
-                out += self.whole(part)
-                continue
-            data, at = ids.tobytes(), at.tolist()
-            out += [data[i:z] for i, z in zip(at, at[1:])]
-        return out
-
-    def simple(self, text: str) -> bool:
-        return bool(PLAIN.fullmatch(text)) and not DOUBLE.search(text) and not text.endswith(" ") and not any(s in text for s in self.special)
-
-    def cut(self, text: str) -> list[str]:
-        """A simple text before each space, line end and, if none follows another mark, comma and full stop."""
-        text = text.replace(" ", "\x01 ").replace("\n", "\x01\n")
-        if not MARKS.search(text):
-            text = text.replace(",", "\x01,").replace(".", "\x01.")
-        return text.split("\x01")
+        return [array("I", e.ids).tobytes() for a in range(0, len(texts), 2000) for e in self.tok.encode_batch_fast(texts[a : a + 2000], add_special_tokens=False)]
+
+    def made(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """(ids, number of ids of each word). Where the regular expression's parts are known, the library's model gets them at once."""
+        tokenize, ids, counts, others = self.model.tokenize, [], [], []
+        for k, w in enumerate(words):
+            if w[:1] == b" " and w[1:].isalpha():  # of bytes: A-Z and a-z
+                got = [t.id for t in tokenize("Ġ" + w[1:].decode())]
+            elif known := KNOWN.fullmatch(w.decode()):
+                got = [t.id for p in known.groups() if p for t in tokenize(p.encode().decode("latin-1").translate(self.names))]
+            else:
+                others.append((k, len(ids)))
+                got = []
+            ids += got
+            counts.append(len(got))
+        ids = np.array(ids, "<u4")
+        if others:
+            rest = [np.frombuffer(x, "<u4") for x in self.whole([words[k].decode() for k, _ in others])]
+            ids = np.insert(ids, np.repeat([at for _, at in others], [len(x) for x in rest]), np.concatenate(rest))
+            for (k, _), x in zip(others, rest):
+                counts[k] = len(x)
+        return ids, counts
+
+    def looked_up(self, data: pa.Buffer, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece) of the pieces between cuts."""
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.kept.get, words, repeat(-1)), np.int64, len(words))
+        ids, ends, new = self.ids, self.ends, np.flatnonzero(at < 0)
+        if len(new):
+            long = np.array([len(words[i]) > LONGEST for i in new.tolist()])
+            new = new[np.argsort(long, kind="stable")]  # those that may be kept come first
+            at[new] = len(self.kept) + np.arange(len(new))
+            missed = [words[i] for i in new.tolist()]
+            got, counts = self.made(missed)
+            ids, ends = np.concatenate([ids, got]), np.concatenate([ends, ends[-1] + np.cumsum(counts)])
+            room = max(0, min(len(new) - int(long.sum()), MOST - len(self.kept)))
+            self.kept.update(zip(missed[:room], range(len(self.kept), MOST)))
+            self.ids, self.ends = ids[: ends[len(self.kept)]], ends[: len(self.kept) + 1]
+        at = at[pieces.indices.to_numpy()]
+        start = ends[at]
+        n = ends[at + 1] - start
+        return ids[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)], n
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cuts = [self.cut(t) if self.simple(t) else None for t in texts]
-        rest = iter(self.whole([t if c is None else c.pop(0) for t, c in zip(texts, cuts)]))
-        new = set().union(*[c for c in cuts if c]).difference(self.kept)
-        spaced, other = [w for w in new if w[0] == " "], [w for w in new if w[0] != " "]
-        made = dict(zip(spaced, self.pieces(spaced))) | dict(zip(other, self.whole(other)))
-        if len(self.kept) + len(made) <= MOST:
-            self.kept.update(made)
-        self.kept.extra, get = made, self.kept.__getitem__
-        return [next(rest) + (b"".join(map(get, c)) if c else b"") for c in cuts]
+        odd = [not self.level or any(s in t for s in self.special) for t in texts]
+        rest = iter(self.whole([t for t, o in zip(texts, odd) if o]))
+        data = [b"" if o else t.encode() for t, o in zip(texts, odd)]
+        sizes = np.cumsum([0, *map(len, data)])
+        joined = b"".join(data)
+        begins = boundaries(np.frombuffer(joined, np.uint8))
+        begins[sizes[sizes < len(joined)]] = True
+        cuts = np.append(np.flatnonzero(begins), len(joined))
+        steps = [self.looked_up(pa.py_buffer(joined), cuts[a : a + STEP + 1]) for a in range(0, len(cuts) - 1, STEP)]
+        ids = np.concatenate([np.empty(0, "<u4"), *(i for i, _ in steps)])
+        ends = np.append(0, np.cumsum(np.concatenate([np.empty(0, np.int64), *(n for _, n in steps)])))
+        at = ends[np.searchsorted(cuts, sizes)].tolist()
+        return [next(rest) if o else ids[a:z].tobytes() for o, a, z in zip(odd, at, at[1:])]
 
 
 def encoder(path: str) -> Encoder:
@@ -115,17 +170,20 @@ def encoder(path: str) -> Encoder:
     return _workers[path]
 
 
-def chunks(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of a batch in parts of about so many characters."""
-    at, part, used = 0, [], 0
-    for i, t in enumerate(batch.column(column).to_pylist()):
-        part.append(t or "")
-        used += len(part[-1])
-        if used >= size:
-            yield at, part
-            at, part, used = i + 1, [], 0
+def chunks(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(doc_ids, texts) of batches of these two columns in parts of about so many characters, whatever the batches hold."""
+    ids, part, used = [], [], 0
+    for b in batches:
+        at = 0
+        for i, t in enumerate(b.column(1).to_pylist(), 1):
+            part.append(t or "")
+            used += len(part[-1])
+            if used >= size:
+                yield pa.concat_arrays([*ids, b.column(0).slice(at, i - at)]), part
+                ids, part, used, at = [], [], 0, i
+        ids.append(b.column(0).slice(at))
     if part:
-        yield at, part
+        yield pa.concat_arrays(ids), part
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
@@ -235,10 +293,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, length: int = 20
 
         part, encode, out = TaskContext.get().partitionId(), encoder(vocabulary), None
         width = pa.uint16() if encode.tok.get_vocab_size() <= 65536 else pa.uint32()
-        for b in batches:
-            for at, texts in chunks(b, 1):
-                out = out or ShardWriter(f"{folder}/{part:06d}-{uuid.uuid4().hex}", length, kind, width)
-                out.add(b.column(0).slice(at, len(texts)), [np.frombuffer(x + END, "<u4") for x in encode(texts)])
+        for ids, texts in chunks(batches):
+            out = out or ShardWriter(f"{folder}/{part:06d}-{uuid.uuid4().hex}", length, kind, width)
+            out.add(ids, [np.frombuffer(x + END, "<u4") for x in encode(texts)])
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [out.uri], "docs": [out.docs], "tokens": [out.tokens]})
