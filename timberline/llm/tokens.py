@@ -32,7 +32,7 @@ from .common import located, scratch, ship
 END = b"\0\0\0\0"
 ROWS = 256
 #: Pieces that an encoder keeps, and the bytes of the longest of them.
-MOST, LONGEST = 400_000, 64
+MOST, LONGEST = 200_000, 64
 #: Pieces that are looked up at once.
 STEP = 1 << 20
 #: Pieces of one line end and one word or number, each at most once: what the regular expression makes of them is known.
@@ -145,7 +145,9 @@ class Encoder:
         at = at[pieces.indices.to_numpy()]
         start = ends[at]
         n = ends[at + 1] - start
-        return ids[np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)], n
+        where = np.repeat(start - np.cumsum(n) + n, n)
+        where += np.arange(len(where))
+        return ids[where], n
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -170,7 +172,7 @@ def encoder(path: str) -> Encoder:
     return _workers[path]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[tuple[pa.Array, list[str]]]:
+def chunks(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.Array, list[str]]]:
     """(doc_ids, texts) of batches of these two columns in parts of about so many characters, whatever the batches hold."""
     ids, part, used = [], [], 0
     for b in batches:
